@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import linededup, mixing
+from confluo.llm import decontam, linededup, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,8 +82,53 @@ SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    items = F.array_sort(F.array_distinct(F.transform("items", lambda i: i["item_id"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.encode(F.array_join(items, ","), "UTF-8"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP2_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents
+), item AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM benchmark
+), need AS (
+  SELECT item_id, words, least(13, len(words)) AS w FROM item WHERE len(words) > 0
+), windows AS (
+  SELECT DISTINCT item_id, w, words[p : p + w - 1] AS win
+  FROM (SELECT item_id, words, w, unnest(range(1, len(words) - w + 2)) AS p FROM need)
+), sizes AS (
+  SELECT DISTINCT w FROM need
+), spots AS (
+  SELECT doc_id, w, p, words[p : p + w - 1] AS win
+  FROM (SELECT doc_id, words, w, unnest(range(1, len(words) - w + 2)) AS p FROM doc, sizes WHERE len(words) >= w)
+), hits AS (
+  SELECT s.doc_id, s.p, s.w, i.item_id FROM spots s JOIN windows i ON s.w = i.w AND s.win = i.win
+), covered AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + w)) AS word FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS names FROM hits GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(n.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(n.names, '')) AS items_sha256,
+  coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.words) AS contaminated
+FROM doc d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op8_mix_sources": op8_mix_sources,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE: dict[str, str] = {"op8_mix_sources": OP8_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op8_mix_sources": OP8_SQL, "op10_line_dedup": OP10_SQL}
