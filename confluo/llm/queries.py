@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import decontam, linededup, mixing, neardup
+from confluo.llm import decontam, linededup, mixing, neardup, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(_table(spark, sf_dir, "documents"), shingle=2, percent=80, per_row=True)
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -164,6 +175,7 @@ FROM doc d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_mix_sources": op8_mix_sources,
     "op10_line_dedup": op10_line_dedup,
