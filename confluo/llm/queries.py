@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import decontam, linededup, mixing, neardup, suffixdedup
+from confluo.llm import decontam, langid, linededup, mixing, neardup, suffixdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,13 @@ FROM rated
 """
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))))
+    out = langid.identify(docs.withColumn("held_out", langid.held_out(F.col("doc_id"))), model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -178,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_mix_sources": op8_mix_sources,
+    "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_near_duplicates": OP5_SQL, "op8_mix_sources": OP8_SQL, "op10_line_dedup": OP10_SQL}
