@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from confluo.llm import decontam, langid, linededup, mixing, neardup, suffixdedup
+from confluo.llm import decontam, langid, linededup, media, mixing, neardup, quality, suffixdedup, tokens, warc
+
+#: Vocabulary files of public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Splits text into letters, digits, other characters and space before merging (fixed value).
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = media.store(_table(spark, sf_dir, "documents"))
+    return media.features(media.load(spark, folder))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixdedup.remove_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select(
@@ -61,6 +72,16 @@ FROM sets s JOIN lowest l ON s.doc_id = l.node
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    records = warc.resolve_revisits(warc.read_archives(archives))
+    return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "error")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{VOCABULARY}", PATTERN)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -137,6 +158,15 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 toxic, 1 not toxic and of low quality, 2 not toxic and of high quality; toxic ones are not kept."""
+    docs = _table(spark, sf_dir, "documents")
+    grade = F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality"))
+    model = quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")))
+    out = quality.score(docs, model, tail_from=1, carry=["doc_id"])
+    return out.withColumn("kept", F.col("tail") >= 0.5)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     items = F.array_sort(F.array_distinct(F.transform("items", lambda i: i["item_id"])))
@@ -181,9 +211,13 @@ FROM doc d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
+    "op3_media": op3_media,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_warc": op6_warc,
+    "op7_token_counts": op7_token_counts,
     "op8_mix_sources": op8_mix_sources,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
