@@ -124,8 +124,12 @@ def _minimise(f, v: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
     return v
 
 
-def fit(grade: np.ndarray, places: np.ndarray, n: np.ndarray, bits: int, rounds: int = 80, prior: float = 1.0, rare: int = 3) -> Ordinal:
-    """Maximum a posteriori weights under a normal prior; features in fewer than ``rare`` rated rows stay at 0."""
+def fit(grade: np.ndarray, places: np.ndarray, n: np.ndarray, bits: int, rounds: int = 80, prior: float = 10.0, rare: int = 5, screen: float = 4.0) -> Ordinal:
+    """Maximum a posteriori weights under a normal prior.
+
+    Features stay at 0 when fewer than ``rare`` rated rows have them, or when at no
+    threshold the rows that have them differ from all rows by ``screen`` standard errors.
+    """
     grades = sorted(set(grade.tolist()))
     if len(grades) < 2:
         grades = grades or [0]
@@ -135,7 +139,13 @@ def fit(grade: np.ndarray, places: np.ndarray, n: np.ndarray, bits: int, rounds:
     share = np.cumsum(np.bincount(y))[:-1] / len(y)
     start = np.log(share / (1 - share))
     rows = np.repeat(np.arange(len(y)), n)
-    often = (np.bincount(places, minlength=1 << bits) >= rare)[places]
+    count = np.bincount(places, minlength=1 << bits)
+    strong = np.zeros(1 << bits, bool)
+    for k in range(len(grades) - 1):
+        p = float(np.mean(y > k))
+        over = np.bincount(places, (y > k)[rows], 1 << bits)
+        strong |= np.abs(over - count * p) >= screen * np.sqrt(np.maximum(count, 1) * p * (1 - p))
+    often = (strong & (count >= rare))[places]
     used, local = np.unique(places[often], return_inverse=True)
     local, rows = local.reshape(-1), rows[often]
     # thresholds are a first one and positive gaps, so their order holds throughout
