@@ -1,15 +1,70 @@
-"""Corpus pipeline over the documents table."""
+"""Corpus pipeline over the documents table: five filtering and weighting stages.
+
+Every stage is called as (spark, docs, sf_dir) and works on all documents that its
+predecessor kept; its result is written as Parquet and read again as the next one's
+documents. All but the last return the columns of documents; the last adds how
+often the mix takes each document. Nulls, empty tables, repeated rows and further columns are
+treated as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from confluo.llm import decontam, langid, linededup, mixing, neardup
+from confluo.plans.shared import materialize
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the labelled documents outside the held-out fifth; documents that are rejected go."""
+    model = langid.train(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that repeat earlier windows; a document of which only white space is left by that goes."""
+    out = linededup.dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("kept_text"), F.lit("")).rlike(r"\S")
+    changed = out.where(~emptied).withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return neardup.drop_near_duplicates(docs, shingle=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go, by the rule of op2."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their size and how many words the mix takes of each."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+]
 
-STAGES: list = []
+#: Language models are beyond SQL; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs, name)
     return docs
