@@ -18,10 +18,15 @@ similarity 0.8 is missed with probability 1.2e-7.
 Groups of copies never become all pairs. Equal sets collapse to one
 representative first. In each band bucket every representative is compared
 with one hub: the member that sits in the largest buckets, i.e. the text that
-most others resemble. Only where a bucket still spans several components after
-that, its members outside the hub's component meet the members of other
-components, unless their signatures agree so little (below ``floor`` of 200
-coordinates) that similarity 0.8 is out of the question (chance below 1e-12).
+most others resemble. That leaves buckets whose members are not all in the hub's
+component. What their members x and y can still share is known from the
+comparisons with the hub h: ``|x & y| <= min(|x & h|, |y & h|) + |(x - h) & (y - h)|``.
+So a pair of members near the hub is looked at only when they share enough
+shingles that the hub lacks (found by an equi-join on those shingles) or when the
+sizes allow it without any (found by an equi-join on the size). Members far from the hub
+(similarity below one half) meet the members of their bucket under two further
+conditions: the triangle inequality of the Jaccard distance, and at most ``differ`` of 200
+signature bits differing (a pair at 0.8 is missed with chance 1e-8).
 
 Edge cases: null text and empty text have no shingles and stay; a null doc_id
 links nothing by itself, its row takes the component of its equal texts and
@@ -37,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.llm.bytesops import ASCII_LOWER, SPACED, U64, blocks, mix, utf8, word_hashes, word_spans
@@ -117,13 +122,17 @@ def _features(shingle: int):
             for i, j in blocks(offsets, BLOCK):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
                 prints = [_fingerprint(s) if len(s) else None for s in sets]
+                # equal sets are signed once a block, at the row that may represent them: that of the smallest doc_id
+                ids = batch.column(0).slice(i, j - i).to_pylist()
                 spot: dict[bytes, int] = {}
-                for k, p in enumerate(prints):
-                    if p is not None:
-                        spot.setdefault(p, k)
+                for k in sorted(range(j - i), key=lambda k: (ids[k] is None, ids[k] if ids[k] is not None else 0)):
+                    if prints[k] is not None:
+                        spot.setdefault(prints[k], k)
                 signature = signatures([sets[k] for k in spot.values()])
                 keys = band_keys(signature)
-                low = signature.astype(np.uint8)
+                bits = np.zeros((len(signature), 32), np.uint8)
+                bits[:, : BANDS * ROWS // 8] = np.packbits((signature & np.uint32(1)).astype(bool), axis=1)
+                bits = bits.view(np.int64)
                 line = {k: n for n, k in enumerate(spot.values())}
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -132,17 +141,19 @@ def _features(shingle: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(prints, pa.binary()),
                         pa.array([keys[line[k]] if k in line else None for k in range(j - i)], pa.list_(pa.int64())),
-                        pa.array([low[line[k]].tobytes() if k in line else None for k in range(j - i)], pa.binary()),
+                        pa.array([bits[line[k]] if k in line else None for k in range(j - i)], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "row", "n", "print", "keys", "low"],
+                    ["doc_id", "row", "n", "print", "keys", "bits"],
                 )
 
     return run
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column(2).to_numpy().view(U64) & U64(64 * len(filter_.value) - 1)
+            batch = batch.filter(pa.array((filter_.value[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1))
             data, offsets = utf8(batch.column(1))
             for i, j in blocks(offsets, BLOCK):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
@@ -154,108 +165,152 @@ def _sets(shingle: int):
     return run
 
 
-def _verify(percent: int):
+def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            sizes: dict[str, list] = {"na": [], "nb": [], "common": [], "linked": [], "own": []}
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                inside = np.isin(a, b, assume_unique=True)
+                common = int(inside.sum())
+                either = len(a) + len(b) - common
+                sizes["na"].append(len(a))
+                sizes["nb"].append(len(b))
+                sizes["common"].append(common)
+                sizes["linked"].append(100 * common >= percent * either)
+                sizes["own"].append(a[~inside].view(np.int64) if 2 * common >= either else None)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(v, t) for v, t in zip(sizes.values(), kinds, strict=True)]], ["a", "b", *sizes])
 
     return run
 
 
-def _agreeing(floor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [
-                int((np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8)).sum()) >= floor
-                for x, y in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
+def bit_filter(wanted: DataFrame, most: int = 1 << 26) -> np.ndarray:
+    """A bitmap over the hashes of the wanted ids, so that texts of other documents need not be shuffled.
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of representatives whose full sets are similar enough."""
+    About 16 bits an id, 8 MB at most; with more ids it lets more pass, the join after it is exact.
+    """
+    bits, need = 1 << 10, min(most, 16 * wanted.count())
+    while bits < need:
+        bits *= 2
+    at = F.xxhash64("id").bitwiseAND(F.lit(bits - 1))
+    words = wanted.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of representatives with the sizes of their full sets, what they have in
+    common, whether they are linked and, for similar ones, the shingles of a that b lacks."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_sets(shingle), f"doc_id {kind}, print binary, members binary")
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    filter_ = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    sets = texts.mapInArrow(_sets(shingle, filter_), f"doc_id {kind}, print binary, members binary")
+    sets = sets.join(wanted, sets.doc_id == wanted.id, "left_semi")
     sets = sets.join(reps.select(F.col("rep").alias("_rep"), F.col("print").alias("_print")), (F.col("doc_id") == F.col("_rep")) & (F.col("print") == F.col("_print")), "left_semi").dropDuplicates(["doc_id", "print"])
+    sets = materialize(sets.select("doc_id", "members"), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(_verify(percent), f"a {kind}, b {kind}")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, floor: int = 100) -> DataFrame:
+    return joined.mapInArrow(_compare(percent), f"a {kind}, b {kind}, na long, nb long, common long, linked boolean, own array<long>")
+
+
+def _open_pairs(spokes: DataFrame, part: DataFrame, live: DataFrame, hubs: DataFrame, bits: DataFrame, percent: int, differ: int) -> DataFrame:
+    """Pairs ``(a, b)`` of bucket members in different components that may still be similar."""
+    comp = part.select(F.col("node").alias("_n"), "component")
+
+    def placed(df: DataFrame, by: str, name: str) -> DataFrame:
+        return df.join(comp, df[by] == F.col("_n"), "left").withColumn(name, F.coalesce("component", by)).drop("_n", "component")
+
+    spokes = placed(placed(spokes.withColumnRenamed("a", "x").withColumnRenamed("b", "hub"), "x", "cx"), "hub", "ch")
+    spokes = materialize(spokes.withColumn("near", F.col("own").isNotNull()), "spokes")
+    unsettled = spokes.where("cx <> ch").select("hub").distinct()
+    around = spokes.join(unsettled, "hub", "left_semi")
+    near = around.where("near")
+    need = lambda nx, ny: F.ceil((nx + ny) * percent / (100 + percent))  # noqa: E731  what a link has in common at least
+    one = near.where("cx <> ch").select("hub", "x", "cx", F.col("na").alias("nx"), F.col("common").alias("mx"))
+    two = near.select("hub", F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("na").alias("ny"), F.col("common").alias("my"))
+    # shingles beyond the hub, the rarest around this hub first; a pair that shares s of them
+    # has a first common one with at least s - 1 behind it on either side
+    own = materialize(near.select("hub", "x", F.explode("own").alias("g")), "own")
+    often = own.groupBy("hub", "g").agg(F.count(F.lit(1)).alias("f"))
+    line = Window.partitionBy("hub", "x").orderBy("f", "g")
+    placed_own = own.join(often, ["hub", "g"]).select("hub", "x", "g", "f", (F.count(F.lit(1)).over(Window.partitionBy("hub", "x")) - F.row_number().over(line) + 1).alias("left"))
+    placed_own = materialize(placed_own.where("f > 1").drop("f"), "placed")
+    share = need(F.col("nx"), F.col("ny")) - F.least("mx", "my")
+    first = placed_own.join(one, ["hub", "x"]).withColumnRenamed("left", "lx")
+    second = placed_own.withColumnsRenamed({"x": "y", "left": "ly"}).join(two, ["hub", "y"]).withColumnsRenamed({"hub": "_h", "g": "_g"})
+    shared = (
+        first.join(second, (F.col("hub") == F.col("_h")) & (F.col("g") == F.col("_g")) & (F.col("cx") != F.col("cy")) & (share >= 1) & (F.least("lx", "ly") >= share))
+        .select("x", "y")
+        .distinct()
+    )
+    low, high = F.ceil(F.col("nx") * percent / 100), F.floor(F.col("mx") * (100 + percent) / percent) - F.col("nx")
+    sized = (
+        one.where(low <= high)
+        .withColumn("ny", F.explode(F.sequence(low, high)))
+        .join(two, ["hub", "ny"])
+        .where((F.col("cx") != F.col("cy")) & (F.least("mx", "my") >= need(F.col("nx"), F.col("ny"))))
+        .select("x", "y")
+    )
+    far = around.where("not near").select("x").distinct()
+    mixed = live.join(hubs, "key").join(unsettled, "hub", "left_semi").select("key", "hub", F.col("rep").alias("x"))
+    apart = F.lit(1.0) - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    known = spokes.select("hub", "x", "cx", "ch", "near", apart.alias("d"))
+    centre = spokes.select("hub", F.col("hub").alias("x"), F.col("ch").alias("cx"), "ch", F.lit(True).alias("near"), F.lit(0.0).alias("d")).distinct()
+    member = mixed.join(known.unionByName(centre), ["hub", "x"]).join(bits.select(F.col("rep").alias("x"), "bits"), "x")
+    if far.isEmpty():
+        distant = shared.limit(0)
+    else:
+        left = member.where("not near").select("key", "x", "cx", "ch", F.col("d").alias("dx"), F.col("bits").alias("bx"))
+        right = member.select("key", F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("ch").alias("hy"), F.col("d").alias("dy"), F.col("bits").alias("by"))
+        differing = sum((F.bit_count(F.col("bx")[k].bitwiseXOR(F.col("by")[k])) for k in range(4)), F.lit(0))
+        distant = (
+            left.join(right, (left.key == right.key) & (F.col("cx") != F.col("cy")) & ((F.col("cx") != F.col("ch")) | (F.col("cy") != F.col("hy"))) & (F.abs(F.col("dx") - F.col("dy")) <= 1.0 - percent / 100 + 1e-9) & (differing <= differ))
+            .select("x", "y")
+        )
+    rest = shared.unionByName(sized).unionByName(distant)
+    return rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, differ: int = 50) -> DataFrame:
     """``docs`` with ``n_shingles, component_id, kept``."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
-    found = classes(docs, shingle, percent, floor)
+    found = classes(docs, shingle, percent, differ)
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     joined = keyed.join(found, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return joined.drop("_row", "_r", "_id")
 
 
-def classes(docs: DataFrame, shingle: int, percent: int, floor: int = 100, per_row: bool = False) -> DataFrame:
+def classes(docs: DataFrame, shingle: int, percent: int, differ: int = 50, per_row: bool = False) -> DataFrame:
     """``(_id, _r, n_shingles, component_id, kept)``: one line per distinct row, or per row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     features = materialize(
-        texts.mapInArrow(_features(shingle), f"doc_id {kind}, row long, n long, print binary, keys array<long>, low binary"),
+        texts.mapInArrow(_features(shingle), f"doc_id {kind}, row long, n long, print binary, keys array<long>, bits array<long>"),
         "minhash",
     )
     known = features.where("print is not null and doc_id is not null")
     reps = known.groupBy("print").agg(F.min("doc_id").alias("rep"))
     banded = known.join(reps.withColumnRenamed("print", "_p"), (F.col("print") == F.col("_p")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["print"])
-    banded = banded.select("rep", "low", "keys")
+    banded = banded.select("rep", "bits", "keys")
     spread = banded.select("rep", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     live = materialize(spread.join(shared, "key"), "buckets")
     score = live.groupBy("rep").agg(F.sum("many").alias("score"))
     hubs = live.join(score, "rep").groupBy("key").agg(F.max_by("rep", F.struct("score", "rep")).alias("hub"))
-    pairs = (
-        live.join(hubs, "key")
-        .where("rep <> hub")
-        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        .distinct()
-    )
-    links = materialize(verified(materialize(pairs, "pairs"), docs, reps, shingle, percent), "links")
+    hubs = materialize(hubs, "hubs")
+    pairs = live.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    spokes = materialize(compared(materialize(pairs, "pairs"), docs, reps, shingle, percent), "spokes")
+    links = spokes.where("linked").select("a", "b")
     part = connected_components(links, "a", "b")
-
-    # buckets that still span components: who is outside the hub's component meets the other components' members
-    tagged = live.join(part, live.rep == part.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    open_ = materialize(tagged.join(mixed, "key"), "open")
-    head = open_.join(hubs, "key").where("rep = hub").select("key", F.col("comp").alias("main"))
-    outer = open_.join(head, "key").where("comp <> main").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    inner = open_.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-    rest = (
-        outer.join(inner, "key")
-        .where("cx <> cy")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    low = banded.select("rep", "low")
-    rest = (
-        rest.join(low.select(F.col("rep").alias("a"), F.col("low").alias("la")), "a")
-        .join(low.select(F.col("rep").alias("b"), F.col("low").alias("lb")), "b")
-        .select("a", "b", "la", "lb")
-        .mapInArrow(_agreeing(floor), f"a {kind}, b {kind}")
-    )
-    rest = materialize(rest, "rest")
+    rest = materialize(_open_pairs(spokes, part, live, hubs, banded.select("rep", "bits"), percent, differ), "rest")
     if rest.isEmpty():
         whole = part
     else:
-        more = materialize(verified(rest, docs, reps, shingle, percent), "links")
+        more = compared(rest, docs, reps, shingle, percent).where("linked").select("a", "b")
         whole = connected_components(links.unionByName(more), "a", "b")
     named = reps.join(whole, reps.rep == whole.node, "left").select(
         F.col("print").alias("_p"), F.coalesce("component", "rep").alias("component")
