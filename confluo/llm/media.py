@@ -183,7 +183,9 @@ class MediaReader(DataSourceReader):
             raise OSError("member checksum differs")
         return data
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an empty folder has no range
+            return
         system, path = files.file_system(partition.archive)
         rows, size = [], 0
         with system.open_input_file(path) as f:
