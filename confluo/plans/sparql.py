@@ -325,7 +325,7 @@ class Parser:
         if kind == "text":
             value = re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], m[1]), raw[1:-1])
             if self.kind() == "lang":
-                return Const(value, "literal", RDF + "langString", self.take()[1][1:].lower())
+                return Const(value, "literal", None, self.take()[1][1:].lower())
             if self.word("^^"):
                 datatype = self.term().value
                 return Const(value, "literal", None if datatype == XSD + "string" else datatype)
@@ -557,7 +557,7 @@ def _locate(needle: Column, text: Column) -> Column:
 FUNCTIONS: dict[str, Callable[[list[E]], E]] = {
     "STR": lambda a: E(a[0].text(), "str"),
     "LANG": lambda a: E(F.when(a[0].term()["kind"] == "literal", F.coalesce(a[0].term()["lang"], F.lit(""))), "str"),
-    "DATATYPE": lambda a: E(term_column(F.when(a[0].term()["kind"] == "literal", F.coalesce(a[0].term()["datatype"], F.lit(XSD + "string"))), "iri"), "term"),
+    "DATATYPE": lambda a: E(term_column(F.when(a[0].term()["kind"] == "literal", F.when(a[0].term()["lang"].isNotNull(), RDF + "langString").otherwise(F.coalesce(a[0].term()["datatype"], F.lit(XSD + "string")))), "iri"), "term"),
     "ISIRI": _kind_is("iri"),
     "ISURI": _kind_is("iri"),
     "ISBLANK": _kind_is("bnode"),
@@ -567,7 +567,7 @@ FUNCTIONS: dict[str, Callable[[list[E]], E]] = {
     "URI": lambda a: E(term_column(a[0].text(), "iri"), "term"),
     "BNODE": lambda a: E(term_column(a[0].text() if a else F.expr("uuid()"), "bnode"), "term"),
     "STRDT": lambda a: E(term_column(a[0].text(), "literal", a[1].text()), "term"),
-    "STRLANG": lambda a: E(term_column(a[0].text(), "literal", RDF + "langString", F.lower(a[1].text())), "term"),
+    "STRLANG": lambda a: E(term_column(a[0].text(), "literal", None, F.lower(a[1].text())), "term"),
     "SAMETERM": lambda a: E(a[0].term() == a[1].term(), "bool"),
     "BOUND": lambda a: E(a[0].column.isNotNull(), "bool"),
     "STRLEN": lambda a: E(F.char_length(a[0].text()), "num"),
@@ -691,8 +691,8 @@ class Compiler:
         self.base, self.graphs, self.n = triples, graphs or {}, 0
 
     def terms(self, triples: DataFrame) -> DataFrame:
-        plain = F.when(F.col("datatype") != XSD + "string", F.col("datatype"))
-        # a plain string and an xsd:string are the same term
+        plain = F.when((F.col("datatype") != XSD + "string") & F.col("lang").isNull(), F.col("datatype"))
+        # a plain string and an xsd:string are the same term; a language stands for its datatype
         return triples.select("s", "p", term_column(F.col("o"), F.col("kind"), plain, F.col("lang")).alias("o"))
 
     def fresh(self) -> str:
