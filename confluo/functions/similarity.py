@@ -83,15 +83,15 @@ def processed(text: Column) -> Column:
 
 
 def upper_bound(algorithm: str, a: Column, b: Column) -> Column:
-    """No pair scores above this; computed inside the JVM to spare Python hopeless pairs.
+    """No pair of strings of these processed lengths scores above this.
 
-    The common subsequence cannot be longer than the shorter side. Token sets have no such bound.
+    The common subsequence cannot be longer than the shorter side. Token sets have
+    no such bound beyond being empty or not.
     """
     if algorithm == "token_set_ratio":
-        return F.lit(100)
-    x, y = F.length(processed(a)), F.length(processed(b))
-    total = x + y
-    return F.when(total > 0, F.floor(200.0 * F.least(x, y) / total + 0.5)).otherwise(F.lit(0))
+        return F.when((a > 0) & (b > 0), F.lit(100)).otherwise(F.lit(0))
+    total = a + b
+    return F.when(total > 0, F.floor(200.0 * F.least(a, b) / total + 0.5)).otherwise(F.lit(0))
 
 
 def ratio_expression(a: Column, b: Column) -> Column:

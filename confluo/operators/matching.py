@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confluo.config import Federation, MatchRule
-from confluo.functions.similarity import similarity, upper_bound
+from confluo.functions.similarity import processed, similarity, upper_bound
 from confluo.functions.terms import FROM_SOURCE, RDF_TYPE, collated
 from confluo.operators.components import connected_components
 
@@ -46,38 +46,67 @@ def block_pairs(rows: DataFrame, hard: list[str], untrusted: list[str] | None =
     return left.join(right, condition)
 
 
-def weighted(pairs: DataFrame, rule: MatchRule, offset: int) -> DataFrame:
-    """Add ``aggregate`` and ``scores``; pairs below a floor, the threshold or with a missing value go.
+def scored_values(rows: DataFrame, rule: MatchRule, offset: int) -> DataFrame:
+    """Pairs of value tuples that clear the rule: blocking values, ``x_v*``, ``y_v*``, ``s*`` and ``aggregate``.
 
-    Similarities are computed once per distinct pair of values, after the cheap tests.
+    Works on the distinct tuples of each block, so records that agree in
+    their values cost nothing extra; each distinct pair of strings is scored once, after the bounds that need no Python.
     """
+    hard = [f"v{k}" for k in range(offset)]
     criteria = list(enumerate(rule.weighted, offset))
+    names = [f"v{k}" for k, _ in criteria]
+    tuples = rows.dropna(subset=[*hard, *names]).select(*hard, *names).distinct()
+    # processed lengths once a tuple, not once a pair
+    tuples = tuples.select("*", *[F.length(processed(F.col(n))).alias(f"n_{n}") for n in names])
+    left = tuples.select(*[F.col(c).alias(c if c in hard else f"x_{c}") for c in tuples.columns])
+    right = tuples.select(*[F.col(c).alias(f"h_{c}" if c in hard else f"y_{c}") for c in tuples.columns])
+    condition = F.struct(*[f"x_{n}" for n in names]) <= F.struct(*[f"y_{n}" for n in names])
+    for h in hard:
+        condition &= F.col(h) == F.col(f"h_{h}")
+    bound = {k: upper_bound(rule.algorithm, F.col(f"x_n_v{k}"), F.col(f"y_n_v{k}")) / 100.0 for k, _ in criteria}
     for k, c in criteria:
-        a, b = F.col(f"a_v{k}"), F.col(f"b_v{k}")
-        pairs = pairs.where(a.isNotNull() & b.isNotNull())
         if c.min_similarity is not None:
-            pairs = pairs.where(upper_bound(rule.algorithm, a, b) / 100.0 >= c.min_similarity)
-    if rule.min_score is not None and rule.weighted:
-        best = reduce(lambda x, kc: x + upper_bound(rule.algorithm, F.col(f"a_v{kc[0]}"), F.col(f"b_v{kc[0]}")) / 100.0 * kc[1].weight, criteria, F.lit(0.0))
-        if all(c.weight >= 0 for c in rule.weighted):
-            pairs = pairs.where(best >= rule.min_score)
+            condition &= bound[k] >= c.min_similarity
+    if rule.min_score is not None and all(c.weight >= 0 for c in rule.weighted):
+        # a little slack, so that rounding of the sum never decides
+        condition &= reduce(lambda x, kc: x + bound[kc[0]] * kc[1].weight, criteria, F.lit(0.0)) >= rule.min_score - 1e-9
+    pairs = left.join(right, condition).select(*hard, *[f"{side}_{n}" for side in "xy" for n in names])
     score = similarity(rule.algorithm)
     for k, c in criteria:
-        x, y = F.least(f"a_v{k}", f"b_v{k}"), F.greatest(f"a_v{k}", f"b_v{k}")
-        keyed = pairs.withColumn("_x", x).withColumn("_y", y)
-        scored = keyed.select("_x", "_y").distinct().withColumn(f"s{k}", score(F.col("_x"), F.col("_y")) / F.lit(100.0))
+        low, high = F.least(f"x_v{k}", f"y_v{k}").alias("_x"), F.greatest(f"x_v{k}", f"y_v{k}").alias("_y")
+        keyed = pairs.select("*", low, high)
+        scores = keyed.select("_x", "_y").distinct().withColumn(f"s{k}", score(F.col("_x"), F.col("_y")) / F.lit(100.0))
         if c.min_similarity is not None:
-            scored = scored.where(F.col(f"s{k}") >= c.min_similarity)
-        pairs = keyed.join(scored, ["_x", "_y"]).drop("_x", "_y")
+            scores = scores.where(F.col(f"s{k}") >= c.min_similarity)
+        pairs = keyed.join(scores, ["_x", "_y"]).drop("_x", "_y")
     aggregate = reduce(lambda x, kc: x + F.col(f"s{kc[0]}") * F.lit(kc[1].weight), criteria, F.lit(0.0))
+    pairs = pairs.withColumn("aggregate", aggregate)
+    return pairs.where(F.col("aggregate") >= rule.min_score) if rule.min_score is not None else pairs
+
+
+def weighted_pairs(rows: DataFrame, rule: MatchRule, offset: int, untrusted: list[str] | None = None) -> DataFrame:
+    """Matching record pairs ``a, b, aggregate, scores`` of a rule with weighted criteria."""
+    hard = [f"v{k}" for k in range(offset)]
+    criteria = list(enumerate(rule.weighted, offset))
+    names = [f"v{k}" for k, _ in criteria]
+    good = scored_values(rows, rule, offset)
+    figures = [*[f"s{k}" for k, _ in criteria], "aggregate"]
+    swapped = good.where(F.struct(*[f"x_{n}" for n in names]) != F.struct(*[f"y_{n}" for n in names])).select(
+        *hard, *[F.col(f"y_{n}").alias(f"x_{n}") for n in names], *[F.col(f"x_{n}").alias(f"y_{n}") for n in names], *figures
+    )
+    good = good.select(*hard, *[f"x_{n}" for n in names], *[f"y_{n}" for n in names], *figures).unionByName(swapped)
+    a = rows.select(F.col("record").alias("a"), F.col("source").alias("a_source"), *hard, *[F.col(n).alias(f"x_{n}") for n in names])
+    b = rows.select(F.col("record").alias("b"), F.col("source").alias("b_source"), *[F.col(h).alias(f"h_{h}") for h in hard], *[F.col(n).alias(f"b_{n}") for n in names])
+    condition = F.col("a") < F.col("b")
+    for left, right in [*((h, f"h_{h}") for h in hard), *((f"y_{n}", f"b_{n}") for n in names)]:
+        condition &= F.col(left) == F.col(right)
+    if untrusted:
+        condition &= ~(F.col("a_source").eqNullSafe(F.col("b_source")) & F.coalesce(F.col("a_source").isin(untrusted), F.lit(False)))
+    pairs = good.join(a, [*hard, *[f"x_{n}" for n in names]]).join(b, condition)
     scores = F.array(
-        *[
-            F.struct(F.lit(c.predicate).alias("on"), F.col(f"s{k}").alias("similarity"), F.lit(c.weight).alias("weight"), F.col(f"a_v{k}").alias("value_a"), F.col(f"b_v{k}").alias("value_b"))
-            for k, c in criteria
-        ]
+        *[F.struct(F.lit(c.predicate).alias("on"), F.col(f"s{k}").alias("similarity"), F.lit(c.weight).alias("weight"), F.col(f"x_v{k}").alias("value_a"), F.col(f"y_v{k}").alias("value_b")) for k, c in criteria]
     ).cast(f"array<{SCORE}>")
-    pairs = pairs.withColumn("aggregate", aggregate).withColumn("scores", scores)
-    return pairs.where(F.col("aggregate") >= rule.min_score) if rule.weighted and rule.min_score is not None else pairs
+    return pairs.select("a", "b", "aggregate", scores.alias("scores"))
 
 
 def pair_frame(spark: SparkSession, pairs: tuple[tuple[str, str], ...] | DataFrame) -> DataFrame:
@@ -109,8 +138,12 @@ def match_rule(mapped: DataFrame, fed: Federation, rule: MatchRule, same_as: Dat
     if not predicates:
         return rows, manual, manual.limit(0).select("a", "b")
     untrusted = [s.iri for s in fed.sources if not s.dedup_within]
-    pairs = block_pairs(rows, [f"v{k}" for k in range(len(rule.hard))], untrusted)
-    pairs = weighted(pairs, rule, len(rule.hard)).select(F.col("a_record").alias("a"), F.col("b_record").alias("b"), F.lit(False).alias("manual"), "aggregate", "scores")
+    if rule.weighted:
+        pairs = weighted_pairs(rows, rule, len(rule.hard), untrusted)
+    else:
+        blocks = block_pairs(rows, [f"v{k}" for k in range(len(rule.hard))], untrusted)
+        pairs = blocks.select(F.col("a_record").alias("a"), F.col("b_record").alias("b"), F.lit(0.0).alias("aggregate"), F.array().cast(f"array<{SCORE}>").alias("scores"))
+    pairs = pairs.select("a", "b", F.lit(False).alias("manual"), "aggregate", "scores")
     kept, vetoed = split_vetoed(pairs, different)
     return rows, manual.unionByName(kept), vetoed.select("a", "b")
 
