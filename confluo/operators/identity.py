@@ -102,8 +102,7 @@ def assign(ranked: DataFrame, registry: DataFrame, namespace: str, prefix: str,
             break
         used = used.union(good.select("entity_iri"))
         fresh = again
-    minted = materialize(done, "minted")
-    decided = base.join(minted.withColumnRenamed("entity_iri", "_minted"), "root", "left").select(
+    decided = base.join(done.withColumnRenamed("entity_iri", "_minted"), "root", "left").select(
         "root", "members", "size", "rank", F.coalesce("claimed", "_minted").alias("entity_iri"), F.col("claimed").isNotNull().alias("reused"), F.coalesce("prior", F.array().cast("array<string>")).alias("prior"), F.array_sort("joined").alias("joined")
     )
     decided = materialize(decided, "decided")
