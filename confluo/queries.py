@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confluo.config import Criterion, Federation, Field, FieldMapping, Mapping, MatchRule, Relationship, ResolveRule, Source, TargetField, TargetSchema
@@ -747,3 +747,113 @@ def product_directory_final(spark, sf_dir):
 def party_directory_final(spark, sf_dir):
     fed = party_federation(hard=(SCHEMA + "nationality",), weighted=(Criterion(SCHEMA + "name"),), min_score=1.0, algorithm="ratio")
     return run(spark, sf_dir, fed).final.where(F.col("predicate") != SCHEMA + "balance").select("entity_iri", "predicate", "value")
+
+
+# --- further operators ------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer")
+def lift_xml_records(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    text = F.concat(F.lit("<r><id>"), F.col("c_custkey").cast("string"), F.lit("</id><name>"), F.col("c_name"), F.lit("</name><segment>"), F.col("c_mktsegment"), F.lit("</segment></r>"))
+    return readers.xml_fields(rows.select(text.alias("x")), "x", "id long, name string, segment string")
+
+
+@query(f"SELECT '{P}part-' || p_partkey AS record, '{P}matchString' AS predicate, lower(p_brand) || ' ' || p_name AS value FROM part")
+def map_match_string(spark, sf_dir):
+    fed = product_federation()
+    cleaned = default_clean(table(spark, sf_dir, "part"), fed.sources[0]).withColumn("match_string", F.concat_ws(" ", F.lower("p_brand"), "p_name"))
+    return map_sources({"part": cleaned}, fed).where(F.col("predicate") == P + "matchString").select("record", "predicate", "value")
+
+
+@query(
+    f"""WITH {PARTS} SELECT a.entity_iri, a.record AS a, b.record AS b, '{SCHEMA}name' AS "on", 1.0::DOUBLE AS similarity, a.p_name AS value_a, b.p_name AS value_b
+    FROM entity a JOIN entity b ON a.root = b.root AND a.record < b.record"""
+)
+def match_evidence(spark, sf_dir):
+    fed = product_federation(hard=(SCHEMA + "brand",), weighted=(Criterion(SCHEMA + "name"),), min_score=1.0, algorithm="ratio")
+    pairs = run(spark, sf_dir, fed).pairs
+    return pairs.select("entity_iri", "a", "b", F.explode("scores").alias("s")).select("entity_iri", "a", "b", "s.on", "s.similarity", "s.value_a", "s.value_b")
+
+
+@query(
+    f"""WITH {PARTS}, sizes AS (SELECT root, any_value(p_brand) AS brand, count(*) AS n FROM clustered GROUP BY root),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY n DESC, root) AS nth FROM sizes)
+    SELECT record AS member, CASE WHEN nth = 1 THEN 'urn:brand:' || brand ELSE '{NS}product-' || substr(sha1(c.root), 1, 12) END AS entity_iri
+    FROM clustered c JOIN ordered o ON c.root = o.root"""
+)
+def registry_contested(spark, sf_dir):
+    """All parts of a brand were one entity; now each name is: the largest keeps the IRI, the others mint."""
+    clusters = product_clusters(spark, sf_dir, product_federation())[3]
+    prior = table(spark, sf_dir, "part").select(record_iri("part", F.col("p_partkey")).alias("member"), F.concat(F.lit("urn:brand:"), "p_brand").alias("entity_iri"), F.col("p_partkey").alias("seq"))
+    return identity.assign(ranked(clusters), prior, NS, "product-").clusters.select("member", "entity_iri")
+
+
+@query(
+    f"""WITH {PARTS}, sizes AS (SELECT root, any_value(p_brand) AS brand, count(*) AS n FROM clustered GROUP BY root),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY n DESC, root) AS nth FROM sizes)
+    SELECT 'split' AS notice, '{NS}product-' || substr(sha1(root), 1, 12) AS entity_iri FROM ordered WHERE nth > 1"""
+)
+def registry_notices(spark, sf_dir):
+    clusters = product_clusters(spark, sf_dir, product_federation())[3]
+    prior = table(spark, sf_dir, "part").select(record_iri("part", F.col("p_partkey")).alias("member"), F.concat(F.lit("urn:brand:"), "p_brand").alias("entity_iri"), F.col("p_partkey").alias("seq"))
+    return identity.assign(ranked(clusters), prior, NS, "product-").notices.select("notice", "entity_iri")
+
+
+@query(f"WITH {PARTS} SELECT entity_iri, predicate, value, count(*)::INT AS n_records, string_agg(record, ' ' ORDER BY record) AS records FROM facts GROUP BY ALL")
+def report_contributors(spark, sf_dir):
+    prov, _ = product_merged(spark, sf_dir)
+    return reports.contributors(prov).select("entity_iri", "predicate", "value", F.size("records").alias("n_records"), F.array_join("records", " ").alias("records"))
+
+
+@query(f"WITH {PARTY} SELECT source, record, id::VARCHAR AS id, name FROM party")
+def report_entities_by_source(spark, sf_dir):
+    return reports.entities_by_source(mapped(spark, sf_dir, party_federation()))
+
+
+@query(f"SELECT '{P}part-' || p_partkey AS record, 'p_name' AS field, p_name AS value FROM part UNION ALL SELECT '{P}part-' || p_partkey, 'p_size', p_size::VARCHAR FROM part")
+def report_field_values(spark, sf_dir):
+    cleaned = default_clean(table(spark, sf_dir, "part"), product_federation().sources[0])
+    return reports.field_values(cleaned, ["p_name", "p_size"])
+
+
+@query(
+    f"""SELECT '{P}partSource' AS start, '{P}part-' || c AS "end" FROM (VALUES ('p_partkey'), ('p_name'), ('p_brand'), ('p_type'), ('p_size')) v(c)
+    UNION ALL SELECT '{P}part-' || c, '{P}t-' || n || '@{P}Product' FROM (VALUES ('p_partkey', 'identifier'), ('p_name', 'name'), ('p_brand', 'brand'), ('p_type', 'category'), ('p_size', 'size')) v(c, n)"""
+)
+def report_mapping_graph(spark, sf_dir):
+    return reports.mapping_graph(spark, product_federation())[1].select("start", "end")
+
+
+@query("SELECT 'n' || n_nationkey AS id, row_number() OVER (ORDER BY n_regionkey, 'n' || n_nationkey)::INT AS place FROM nation")
+def report_barycenters(spark, sf_dir):
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = region.select(name("r", "r_regionkey").alias("id"), F.col("r_regionkey").alias("index")).union(nation.select(name("n", "n_nationkey"), F.col("n_nationkey") + 100))
+    edges = nation.select(name("r", "n_regionkey").alias("start"), name("n", "n_nationkey").alias("end"))
+    placed = reports.barycenters(nodes, edges).where(F.startswith("id", F.lit("n")))
+    least = F.row_number().over(Window.orderBy("place"))
+    return placed.select("id", least.alias("place"))
+
+
+@query("SELECT 'clean-part' AS step, 'clean' AS type UNION ALL SELECT 'map', 'map' UNION ALL SELECT 'match', 'match' UNION ALL SELECT 'merge', 'merge' UNION ALL SELECT 'resolve', 'resolve'")
+def report_step_journal(spark, sf_dir):
+    return spark.createDataFrame(run(spark, sf_dir, product_federation()).journal, engine.JOURNAL).select("step", "type")
+
+
+@query("SELECT 'Product' AS \"schema\", 'schema:Product' AS \"targetClass\", '' AS relationships")
+def export_schema_overview(spark, sf_dir):
+    return exports.schema_overview(spark, product_federation())
+
+
+@query("SELECT 'schema:' || n AS predicate, CASE WHEN n = 'identifier' THEN 'true' ELSE '' END AS \"multiValued\", CASE WHEN n = 'size' THEN 'keepAll' ELSE '' END AS \"resolveOverride\" FROM (VALUES ('identifier'), ('name'), ('brand'), ('category'), ('size')) v(n)")
+def export_schema_fields(spark, sf_dir):
+    return exports.schema_fields(spark, product_federation(ResolveRule("alphabeticFirst", {SCHEMA + "size": "keepAll"})), P + "Product")
+
+
+@query("SELECT 'region' AS name, 'a' AS value UNION ALL SELECT 'region', 'b' UNION ALL SELECT 'year', '2024'")
+def source_run_params(spark, sf_dir):
+    from confluo.config import from_turtle
+
+    fed = from_turtle(f'@prefix : <{P}> . :f a :Federation ; :hasRunParam [ :name "year" ; :value "2024" ] , [ :name "region" ; :value "b" ] , [ :name "region" ; :value "a" ] .')
+    return spark.createDataFrame([(n, v) for n, vs in fed.run_params.items() for v in vs], "name string, value string")

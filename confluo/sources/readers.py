@@ -32,6 +32,11 @@ def read_xml(spark: SparkSession, path: str, params: dict[str, str]) -> DataFram
     return spark.read.format("xml").option("rowTag", params.get("rowTag", "record")).load(path)
 
 
+def xml_fields(docs: DataFrame, column: str, schema: str) -> DataFrame:
+    """The fields of one XML document per row; a malformed document gives nulls."""
+    return docs.select(F.from_xml(F.col(column), schema).alias("_r")).select("_r.*")
+
+
 def json_facts(docs: DataFrame, key: str, column: str) -> DataFrame:
     """``(key, path, value, type)``: every node of a JSON column; containers have no value, nulls are kept."""
     spark = docs.sparkSession
