@@ -28,6 +28,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one smaller node that points nowhere: the components' smallest nodes."""
+    n, starts = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return n == starts and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is the smallest node.
 
@@ -39,14 +45,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     current = materialize(
         raw.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    mark = None
-    while True:
-        seen = current.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")
-        ).first()
-        if seen[:2] == mark and seen[0] == seen[2]:
-            break
-        mark = seen[:2]
+    while not _stars(current):
         current = materialize(_small_star(_large_star(current)), "edges")
     found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
