@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm.bytesops import ALNUM, ASCII_LOWER, U64, blocks, mix, utf8, word_hashes, word_spans
+from confluo.llm.langid import by_hash
 
 RESULT = ["expected_grade", "tail"]
 MARKS = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n0123456789", np.uint8)
@@ -172,8 +173,9 @@ def _hash(bits: int):
 def train(docs: DataFrame, ratings: DataFrame, bits: int = 18, max_rows: int = 20_000) -> Ordinal:
     """Fit on ``docs(doc_id, text)`` joined with ``ratings(doc_id, grade)``."""
     rated = ratings.where("grade is not null").select(F.col("doc_id").alias("_id"), F.col("grade").cast("long").alias("grade"))
-    rated = rated.orderBy(F.xxhash64("_id"), "_id", "grade").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(rated, F.col("doc_id") == F.col("_id")).select("grade", "text")
+    rated = by_hash(rated, "_id", max_rows)
+    # at most max_rows ids and grades: their bound allows a broadcast, so no text is shuffled
+    rows = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("_id")).select("grade", "text")
     seen = rows.mapInArrow(_hash(bits), "grade long, places binary").toArrow()
     parts = seen.column("places").to_pylist() if seen.num_rows else []
     grade = seen.column("grade").to_numpy() if seen.num_rows else np.zeros(0, np.int64)
