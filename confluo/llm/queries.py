@@ -36,6 +36,33 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP4_SQL = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), windows AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM texts WHERE n >= 50)
+), hits AS (
+  SELECT w.doc_id, w.p FROM windows w JOIN (SELECT s, min(doc_id) AS low FROM windows GROUP BY s) f ON w.s = f.s WHERE f.low < w.doc_id
+), marked AS (
+  SELECT doc_id, p, coalesce(p - lag(p) OVER d > 50, true) AS fresh FROM hits WINDOW d AS (PARTITION BY doc_id ORDER BY p)
+), numbered AS (
+  SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked
+), runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM runs
+  UNION ALL SELECT t.doc_id, coalesce(max(r.b), 0), any_value(t.n) FROM texts t LEFT JOIN runs r ON t.doc_id = r.doc_id GROUP BY t.doc_id
+), kept AS (
+  SELECT g.doc_id, string_agg(substr(t.h, (2 * g.x + 1)::BIGINT, (2 * (g.y - g.x))::BIGINT), '' ORDER BY g.x) AS h
+  FROM gaps g JOIN texts t ON g.doc_id = t.doc_id GROUP BY g.doc_id
+), totals AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(x.n_removed, 0)::BIGINT AS n_removed, coalesce(x.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM texts t JOIN kept k ON t.doc_id = k.doc_id LEFT JOIN totals x ON t.doc_id = x.doc_id
+"""
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(_table(spark, sf_dir, "documents"), shingle=2, percent=80, per_row=True)
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -78,6 +105,19 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "error")
 
 
+OP6_SQL = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), firsts AS (
+  SELECT digest, max(page_id) AS first FROM payloads WHERE n >= 1000 GROUP BY digest
+), marked AS (
+  SELECT p.*, f.first, f.first IS NOT NULL AND p.page_id IS DISTINCT FROM f.first AS again FROM payloads p LEFT JOIN firsts f ON p.digest = f.digest
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to, NULL::VARCHAR AS error FROM marked
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{VOCABULARY}", PATTERN)
 
@@ -222,4 +262,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op5_near_duplicates": OP5_SQL, "op8_mix_sources": OP8_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op5_near_duplicates": OP5_SQL, "op6_warc": OP6_SQL, "op8_mix_sources": OP8_SQL, "op10_line_dedup": OP10_SQL}
