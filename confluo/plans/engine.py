@@ -191,10 +191,10 @@ class Pipeline:
     def _commit(self, name: str, df: DataFrame) -> None:
         """A new snapshot beside the old ones; readers take the newest that is complete."""
         found = self._snapshots(name)
-        df.coalesce(1).sortWithinPartitions(*[c for c in ("seq", "revision", "event", "entity_iri") if c in df.columns]).write.parquet(os.path.join(self.state, name, f"{int(found[-1]) + 1 if found else 1:08d}"))
+        df.coalesce(1).sortWithinPartitions(*[c for c in ("seq", "revision", "event", "entity_iri", "started") if c in df.columns]).write.parquet(os.path.join(self.state, name, f"{int(found[-1]) + 1 if found else 1:08d}"))
 
     def run(self, at: str | None = None) -> Result:
-        """Ingest and federate; registry and history are committed when harvesting is on and they changed."""
+        """Ingest and federate; registry and history are committed when harvesting is on and they changed, the journal always."""
         journal = Journal()
         lifted = self.ingest(journal)
         fed = config.load(self.root)
@@ -206,6 +206,7 @@ class Pipeline:
                 self._commit("registry", result.registry)
             if result.history.count() != history.count():
                 self._commit("history", result.history)
+        self._commit("journal", journal.frame(self.spark))
         return result
 
 

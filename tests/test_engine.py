@@ -10,7 +10,7 @@ from confluo.config import Criterion, Federation, Field, FieldMapping, Mapping,
 from confluo.functions import turtle
 from confluo.functions.terms import COMMON_PREFIXES, FOAF, PIPELINE, SCHEMA
 from confluo.operators.clean import record_iri, split_entities
-from confluo.plans.engine import Pipeline, federate
+from confluo.plans.engine import JOURNAL, Pipeline, federate
 from confluo.operators import reports
 
 JSON_FORMAT = "http://example.org/file-type/JSON"
@@ -72,6 +72,8 @@ def test_tiny_instance_over_three_harvests(spark, instance):
     put(instance, "beta", [BETA[0], {"id": "b2", "label": "Entry Drei"}])
     two = pipeline.run(at="2024-01-02 00:00:00")
     assert by_entity(two.registry) == wanted and two.history.count() == 3
+    steps = [r.step for r in pipeline.load_state("journal", JOURNAL).orderBy("started").collect()]
+    assert sorted(steps) == ["clean-alpha", "clean-beta", "lift-alpha", "lift-beta", "map", "match", "merge", "resolve"]
     assert pipeline._snapshots("registry") == ["00000001"] and pipeline._snapshots("history") == ["00000001"]
 
     put(instance, "alpha", [*ALPHA, {"id": "a3", "name": "Entry Drei"}])
