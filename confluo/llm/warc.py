@@ -264,7 +264,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Records with ``payload_bytes`` and ``refers_to``: revisits take them from the response with their digest."""
-    records = records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload")
+    # the archives are parsed once; what is written holds no payload
+    records = materialize(records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"), "records")
     wanted = records.where("type = 'revisit'")
     rest = records.where("type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
     first = rest.groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("_bytes"))
