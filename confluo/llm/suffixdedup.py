@@ -38,6 +38,8 @@ block, not one a document.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -229,7 +231,7 @@ def _send(width: int, gram: int, buckets: int):
                 out["length"].append(block.length[lead[a:b]].astype(np.uint8).tobytes())
                 out["low"].append(low[a:b].tobytes())
                 out["high"].append(high[a:b].tobytes())
-                out["data"].append(gather(block.data, block.start[lead[a:b]], block.end[lead[a:b]]).tobytes())
+                out["data"].append(zlib.compress(gather(block.data, block.start[lead[a:b]], block.end[lead[a:b]]).tobytes(), 1))
         return pa.table(out, schema=schema)
 
     return run
@@ -267,7 +269,7 @@ def _sort(width: int):
         run_, low, high = (np.frombuffer(b"".join(parts[c]), t) for c, t in (("run", "<u4"), ("low", np.int64), ("high", np.int64)))
         length = np.frombuffer(b"".join(parts["length"]), np.uint8).astype(np.int64)
         owner = np.repeat(np.arange(len(names)), [len(x) // 4 for x in parts["run"]])
-        data = np.frombuffer(b"".join(parts["data"]), np.uint8)
+        data = np.frombuffer(b"".join(map(zlib.decompress, parts["data"])), np.uint8)
         size = length + width - 1
         start = np.cumsum(size) - size
         # equal runs of several blocks are one run to sort
