@@ -14,10 +14,13 @@ Semantics
   cross-entropy lies beyond what calibration saw for that language at that
   length (mean + ``z`` times the spread of documents and of single characters).
 
-Bounds: the arrays hold at most ``max_cells`` n-gram x language cells. When the
-corpus has more distinct 4-grams, the rarest go (one count threshold for all
-languages), so the broadcast stays below 16 bytes a cell however large the
-corpus. Temperature and rejection are fitted on at most ``calibrate`` documents.
+Bounds: no count is dropped. One model holds at most ``max_cells`` n-gram x language
+cells. When the corpus has more distinct 4-grams, they are split by their two
+middle characters into parts of that size, which workers read one after the other and
+whose sums add up to the same result: orders 4 and 3 of an n-gram lie in one part, and
+each part has the pairs of characters and single ones of all. A pair is never split, so
+the bound is exceeded where one pair alone has more. Temperature and rejection are
+fitted on at most ``calibrate`` documents.
 
 Edge cases: null text, empty text and text without letters are ``und`` with
 score 0 and rejected; rows without lang or doc_id are not learned from;
@@ -28,6 +31,7 @@ replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,12 +40,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confluo.llm import files
 from confluo.llm.bytesops import U64, mix
 from confluo.plans.shared import materialize
 
 RESULT = ["lang_pred", "score", "entropy", "rejected"]
 CHARS = 1 << 18
 ORDER = 4
+#: Residues of the two middle characters; a part of the model is a range of them.
+RESIDUES = 4093
 _letters: list[np.ndarray] = []
 
 
@@ -126,6 +133,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _residue(codes: np.ndarray) -> np.ndarray:
+    return (codes >> U64(16) & U64(0xFFFFFFFF)) % U64(RESIDUES)
+
+
+def _ranges(sizes: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """Ranges that cover all residues, each of at most ``most`` rows or one residue."""
+    out, start, held = [], 0, 0
+    for r in range(RESIDUES):
+        n = sizes.get(r, 0)
+        if held and held + n > most:
+            out.append((start, r))
+            start, held = r, 0
+        held += n
+    return [*out, (start, RESIDUES)]
+
+
 @dataclass
 class Level:
     """One order of one language: n-gram weights, and per context its total and number of followers."""
@@ -154,7 +177,9 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Model:
-    """All languages: their levels, and the bits of every known 4-gram under each of them."""
+    """All languages: their levels, and the bits of every known 4-gram under each of them.
+
+    A model in ``parts`` has its levels and bits in one file for each range of residues."""
 
     langs: list[str]
     levels: list[list[Level]]
@@ -167,12 +192,15 @@ class Model:
     noise: float = 3.0
     discount: float = 0.75
     z: float = 6.0
+    parts: list[tuple[str, int, int]] = field(default_factory=list)
 
     def entropy(self, codes: np.ndarray, k: int) -> np.ndarray:
         """Bits of 4-grams under language k, by interpolation from the lowest order."""
         p = np.full(len(codes), 1.0 / (self.letters + 1))
         for order in range(1, ORDER + 1):
             level = self.levels[k][order - 1]
+            if not len(level.keys):
+                continue
             part = codes & U64((1 << (16 * order)) - 1) if order < ORDER else codes
             at, there = _find(level.keys, mix(part))
             count = np.where(there, level.counts[at], 0.0)
@@ -184,6 +212,16 @@ class Model:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per character of each text under each language, and its number of 4-grams."""
+        if not self.parts:
+            return self._score(texts, None)
+        out, sizes = 0.0, np.zeros(len(texts), np.int64)
+        for uri, low, high in self.parts:
+            own, sizes = pickle.loads(files.read(uri))._score(texts, (low, high))
+            out = out + own
+        return out, sizes
+
+    def _score(self, texts: list[str | None], within: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """The share that the 4-grams ``within`` a range of residues have in the bits per character."""
         out, sizes = np.full((len(texts), len(self.langs)), np.nan), np.zeros(len(texts), np.int64)
         for i, j in _blocks(texts):
             codes, n = grams(texts[i:j])
@@ -191,32 +229,46 @@ class Model:
             some = np.flatnonzero(n)
             if not len(some) or not self.langs:
                 continue
-            at, there = _find(self.keys, mix(codes))
-            missing, inverse = np.unique(codes[~there], return_inverse=True)
+            mine = slice(None)
+            if within:
+                residues = _residue(codes)
+                mine = np.flatnonzero((residues >= within[0]) & (residues < within[1]))
+            at, there = _find(self.keys, mix(codes[mine]))
+            missing, inverse = np.unique(codes[mine][~there], return_inverse=True)
             first = (np.cumsum(n) - n)[some]
+            bits = np.zeros(len(codes))
             for k in range(len(self.langs)):
-                bits = self.bits[at, k].astype(float)
+                known = self.bits[at, k].astype(float)
                 if len(missing):
-                    bits[~there] = self.entropy(missing, k)[inverse.reshape(-1)]
+                    known[~there] = self.entropy(missing, k)[inverse.reshape(-1)]
+                bits[mine] = known
                 out[i + some, k] = np.add.reduceat(bits, first) / n[some]
         return out, sizes
 
 
-def build(counts: pa.Table, discount: float = 0.75) -> Model:
-    """Kneser-Ney levels per language from ``(lang, gram, n)``."""
-    names = counts.column("lang").to_numpy(zero_copy_only=False).astype(str) if counts.num_rows else np.zeros(0, str)
-    codes = counts.column("gram").to_numpy().view(U64) if counts.num_rows else np.zeros(0, U64)
-    n = counts.column("n").to_numpy() if counts.num_rows else np.zeros(0, np.int64)
-    langs = sorted(set(names.tolist()))
+def _arrays(counts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not counts.num_rows:
+        return np.zeros(0, str), np.zeros(0, U64), np.zeros(0, np.int64)
+    return counts.column("lang").to_numpy(zero_copy_only=False).astype(str), counts.column("gram").to_numpy().view(U64), counts.column("n").to_numpy()
+
+
+def build(counts: pa.Table, discount: float = 0.75, pairs: pa.Table | None = None) -> Model:
+    """Kneser-Ney levels per language from ``(lang, gram, n)``. For a part of the 4-grams,
+    ``pairs`` are the continuation counts of order 2 over all of them."""
+    names, codes, n = _arrays(counts)
+    pair_names, pair_codes, pair_n = _arrays(pairs if pairs is not None else counts.slice(0, 0))
+    langs = sorted(set((names if pairs is None else pair_names).tolist()))
     levels = []
     for lang in langs:
         own, weight = codes[names == lang], n[names == lang]
         stack = [_level(own, weight)]
         for order in range(ORDER - 1, 0, -1):
             own, weight = np.unique(own & U64((1 << (16 * order)) - 1), return_counts=True)  # continuation counts
+            if order == 2 and pairs is not None:
+                own, weight = pair_codes[pair_names == lang], pair_n[pair_names == lang]
             stack.append(_level(own, weight))
         levels.append(stack[::-1])
-    letters = len(np.unique(codes & U64(0xFFFF)))
+    letters = len(np.unique((codes if pairs is None else pair_codes) & U64(0xFFFF)))
     model = Model(langs, levels, letters, discount=discount)
     every = np.unique(codes)
     if langs:
@@ -246,12 +298,20 @@ def train(docs: DataFrame, max_cells: int = 8_000_000, calibrate: int = 2_000, z
     rows = docs.where("lang is not null and text is not null").select("lang", "text", "doc_id")
     counted = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     table = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    shape = table.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("c")).collect()
-    n_langs = table.select("lang").distinct().count()
-    most, least = max_cells // max(1, n_langs), 1
-    while sum(r.c for r in shape if r.n >= least) > most and least < 10_000:
-        least += 1
-    model = build(table.where(F.col("n") >= least).toArrow())
+    most = max(1, max_cells // max(1, table.select("lang").distinct().count()))
+    residue = F.pmod(F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(RESIDUES))
+    ranges = _ranges({r.r: r.c for r in table.groupBy(residue.alias("r")).agg(F.count(F.lit(1)).alias("c")).collect()}, most)
+    if len(ranges) == 1:
+        model = build(table.toArrow())
+    else:
+        triples = table.select("lang", F.col("gram").bitwiseAND(F.lit((1 << 48) - 1)).alias("gram")).distinct()
+        pairs = triples.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+        where, parts = files.folder(docs.sparkSession, "langid"), []
+        for low, high in ranges:
+            part = build(table.where(residue.between(low, high - 1)).toArrow(), pairs=pairs)
+            files.write(f"{where}/{low}", pickle.dumps(part, pickle.HIGHEST_PROTOCOL))
+            parts.append((f"{where}/{low}", low, high))
+        model = Model(part.langs, [], part.letters, parts=parts)
     model.z = z
     sample = by_hash(rows, "doc_id", calibrate).select("lang", "text")
     seen = sample.mapInArrow(_entropies(rows.sparkSession.sparkContext.broadcast(model)), "lang string, bits array<double>, n long").toArrow()

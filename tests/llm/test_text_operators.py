@@ -197,6 +197,21 @@ def test_language_models_are_distributions_and_tell_languages_apart(spark):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_language_models_in_parts_keep_every_count(spark):
+    rng = random.Random(13)
+    rare = ["qaxo zuvi wexa qoxi zaqu vixo", "zuvi qaxo vixo wexa zaqu qoxi"]
+    rows = [(k, "hot", text_of(rng, 60, 3000).replace("w", "en")) for k in range(300)]
+    rows += [(300 + k, "hot", " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60))) for k in range(300)]
+    rows += [(600 + k, "rare", text) for k, text in enumerate(rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    whole, split = langid.train(docs), langid.train(docs, max_cells=9_000)
+    assert whole.langs == split.langs == ["hot", "rare"] and not whole.parts and len(split.parts) > 2
+    texts = [r[2] for r in rows[::50]] + rare + ["", None, "unseen ÄÖ text 12 яблоко"]
+    (a, n), (b, m) = whole.score(texts), split.score(texts)
+    assert n.tolist() == m.tolist() and np.allclose(a, b, equal_nan=True)
+    assert {r.lang_pred for r in langid.identify(docs.where("lang = 'rare'"), split).collect()} == {"rare"}
+
+
 def test_ordinal_classifier(spark):
     rng = random.Random(11)
     good, bad, worse = (lambda: text_of(rng, 40, 3000)), (lambda: text_of(rng, 40, 3000) + " ### $$$ ### $$$ ### $$$"), (lambda: text_of(rng, 40, 3000) + " " + rng.choice(["idiot", "scum"]))
