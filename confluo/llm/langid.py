@@ -4,7 +4,9 @@ Semantics
 ---------
 * Text is lower-cased; a run of characters that are no letters reads as one
   space. Every position with its three predecessors is a 4-gram; a document
-  starts behind three spaces. Characters beyond the basic plane are folded into it.
+  starts behind three spaces. What is a letter is decided on the whole code point; then
+  it takes 16 bits: letters of the first two planes each have a place of their own (those of
+  the second where the first has none), the ideographs of further planes share those of the first.
 * One model per language: interpolated Kneser-Ney of order 4 down to 1 over the
   counts of *all* training documents. The n-gram arrays are sorted by a 64-bit
   hash (a bijection of the packed characters) and searched by bisection.
@@ -49,13 +51,24 @@ CHARS = 1 << 18
 ORDER = 4
 #: Residues of the two middle characters; a part of the model is a range of them.
 RESIDUES = 4093
-_letters: list[np.ndarray] = []
-
-
-def _letter_table() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.array([chr(c).isalpha() for c in range(1 << 16)]))
-    return _letters[0]
+IDEOGRAPHS = range(0x4E00, 0xA000)
+_places: list[np.ndarray] = []
+
+
+def _place_table() -> np.ndarray:
+    """16 bits for each code point: 0 for what is no letter, never 0 for a lower-case letter."""
+    if not _places:
+        table = np.zeros(0x110000, np.uint16)
+        letters = np.array([c for c in range(len(table)) if chr(c).isalpha() and chr(c).lower() == chr(c)])
+        basic, wide = letters[letters <= 0xFFFF], letters[letters > 0xFFFF]
+        table[basic] = basic
+        free = np.setdiff1d(np.arange(1, 1 << 16), basic)
+        own = wide[wide < 0x20000][: len(free)]
+        table[own] = free[: len(own)]
+        rest = wide[len(own) :]
+        table[rest] = IDEOGRAPHS.start + np.arange(len(rest)) % len(IDEOGRAPHS)
+        _places.append(table)
+    return _places[0]
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +76,8 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     joined = "\0".join((t or "").replace("\0", " ") for t in texts).lower() + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     stops = np.flatnonzero(codes == 0)
-    wide = codes > 0xFFFF
-    codes = np.where(wide, (codes & 0x7FFF) | 0x8000, codes)
-    letter = _letter_table()[codes]
+    codes = _place_table()[codes]
+    letter = codes != 0
     before = np.empty_like(letter)
     before[0] = False
     before[1:] = letter[:-1]
@@ -74,7 +86,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     upto = np.cumsum(keep)
     ends = upto[stops]
     sizes = np.diff(np.concatenate(([0], ends)))
-    kept = np.where(letter, codes, 0)[keep].astype(U64)
+    kept = codes[keep].astype(U64)
     place = np.arange(len(kept)) - np.repeat(ends - sizes, sizes)
     packed = kept.copy()
     for back in range(1, ORDER):

@@ -197,6 +197,19 @@ def test_language_models_are_distributions_and_tell_languages_apart(spark):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def test_letters_beyond_the_basic_plane(spark):
+    adlam = "".join(chr(0x1E922 + k % 34) + " " * (k % 5 == 4) for k in range(200))
+    rows = [(1, "en", "the cat sat on the mat and ran " * 5), (2, "ff", adlam), (3, "txg", "".join(chr(0x17000 + k % 50) for k in range(100))), (4, "zh", "\uf914\u4e00\u4e8c" * 50)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.langs == ["en", "ff", "txg", "zh"]
+    new = rows + [(5, "und", "\U0001f914" * 30 + " \U0001f923\U0001f980"), (6, "ff", adlam[7:90].upper())]
+    out = langid.identify(spark.createDataFrame(new, "doc_id long, lang string, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in out.collect()} == {k: lang for k, lang, _ in new}
+    places = langid._place_table()
+    own = [places[c] for c in range(0x20000) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    assert 0 not in own and len(set(own)) == len(own)
+
+
 def test_language_models_in_parts_keep_every_count(spark):
     rng = random.Random(13)
     rare = ["qaxo zuvi wexa qoxi zaqu vixo", "zuvi qaxo vixo wexa zaqu qoxi"]
