@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confluo.functions.terms import format_family
+from confluo.plans.shared import new_dir
 
 Reader = Callable[[SparkSession, str, dict[str, str]], DataFrame]
 
@@ -38,22 +39,25 @@ def xml_fields(docs: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def json_facts(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """``(key, path, value, type)``: every node of a JSON column; containers have no value, nulls are kept."""
+    """``(key, path, value, type)``: every node of a JSON column; containers have no value, nulls are kept.
+
+    One round a level, each written to the shared folder, until a level has no containers;
+    neither rows nor levels are limited (what ``parse_json`` itself refuses is an error)."""
     spark = docs.sparkSession
-    docs.select(F.col(key).alias("k"), F.parse_json(F.col(column)).alias("v")).createOrReplaceTempView("_json_docs")
-    return spark.sql(
-        """
-        with recursive node(k, path, v, depth) as (
-          select k, '$', v, 0 from _json_docs
-          union all
-          select n.k, n.path || '/' || coalesce(e.key, cast(e.pos + 1 as string)), e.value, n.depth + 1
-          from node n, lateral variant_explode(n.v) e
+    schema = "k " + docs.schema[key].dataType.simpleString() + ", path string, value string, type string, v variant"
+    level = docs.select(F.col(key).alias("k"), F.lit("$").alias("path"), F.parse_json(F.col(column)).alias("v"))
+    base, written = new_dir(spark, "json"), []
+    while not written or not level.isEmpty():
+        nodes = spark.sql(
+            "select n.k, n.path || '/' || coalesce(e.key, cast(e.pos + 1 as string)) as path, e.value as v, schema_of_variant(e.value) as t from {level} n, lateral variant_explode(n.v) e",
+            level=level,
         )
-        select k, path, case when schema_of_variant(v) rlike '^(OBJECT|ARRAY)' then null else cast(v as string) end as value,
-               split(schema_of_variant(v), '<')[0] as type
-        from node where depth > 0
-        """
-    ).withColumnRenamed("k", key)
+        inner = F.col("t").rlike("^(OBJECT|ARRAY)")
+        nodes = nodes.select("k", "path", F.when(~inner, F.col("v").cast("string")).alias("value"), F.split("t", "<")[0].alias("type"), F.when(inner, F.col("v")).alias("v"))
+        written.append(f"{base}/level-{len(written) + 1}")
+        nodes.write.parquet(written[-1])
+        level = spark.read.schema(schema).parquet(written[-1]).where("v is not null").select("k", "path", "v")
+    return spark.read.schema(schema).parquet(*written).drop("v").withColumnRenamed("k", key)
 
 
 class _Tree(HTMLParser):

@@ -239,6 +239,20 @@ def test_nested_json_facts(spark):
     assert got == {"$/a": None, "$/a/b": None, "$/a/b/1": "1", "$/a/b/2": None, "$/c": "x"}
 
 
+def test_json_facts_have_no_limit_of_rows_or_levels(spark):
+    deep = "[" * 5 + "7" + "]" * 5
+    df = spark.createDataFrame([(k, deep) for k in range(30)] + [(30, None), (31, "{}"), (32, "5")], "k long, j string")
+    limits = {"spark.sql.cteRecursionRowLimit": "20", "spark.sql.cteRecursionLevelLimit": "3"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        got = sorted((r.k, r.path, r.value, r.type) for r in readers.json_facts(df, "k", "j").collect())
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    assert got == [(k, "$" + "/1" * d, "7" if d == 5 else None, "BIGINT" if d == 5 else "ARRAY") for k in range(30) for d in range(1, 6)]
+
+
 def triples(spark):
     rows = [("urn:a", "urn:knows", "urn:b", "iri", None, None), ("urn:b", "urn:knows", "urn:c", "iri", None, None), ("urn:c", "urn:knows", "urn:a", "iri", None, None), ("urn:a", "urn:name", "Ann", "literal", None, "en"), ("urn:b", "urn:name", "Bob", "literal", XSD + "string", None), ("urn:a", "urn:age", "41", "literal", XSD + "integer", None), ("urn:b", "urn:age", "9", "literal", XSD + "integer", None), ("urn:c", "urn:born", "2001-02-03T04:05:06Z", "literal", XSD + "dateTime", None)]
     return spark.createDataFrame(rows, "s string, p string, o string, kind string, datatype string, lang string")
