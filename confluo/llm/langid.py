@@ -22,7 +22,7 @@ middle characters into parts of that size, which workers read one after the othe
 whose sums add up to the same result: orders 4 and 3 of an n-gram lie in one part, and
 each part has the pairs of characters and single ones of all. A pair is never split, so
 the bound is exceeded where one pair alone has more. Temperature and rejection are
-fitted on at most ``calibrate`` documents.
+fitted on all training documents, from sums per language.
 
 Edge cases: null text, empty text and text without letters are ``und`` with
 score 0 and rejected; rows without lang or doc_id are not learned from;
@@ -51,6 +51,7 @@ CHARS = 1 << 18
 ORDER = 4
 #: Residues of the two middle characters; a part of the model is a range of them.
 RESIDUES = 4093
+TEMPERATURES = [0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0]
 IDEOGRAPHS = range(0x4E00, 0xA000)
 _places: list[np.ndarray] = []
 
@@ -305,10 +306,10 @@ def by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(most)
 
 
-def train(docs: DataFrame, max_cells: int = 8_000_000, calibrate: int = 2_000, z: float = 6.0) -> Model:
+def train(docs: DataFrame, max_cells: int = 8_000_000, z: float = 6.0) -> Model:
     """Fit on every row of ``(doc_id, lang, text)`` with lang and text."""
-    rows = docs.where("lang is not null and text is not null").select("lang", "text", "doc_id")
-    counted = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    rows = docs.where("lang is not null and text is not null").select("lang", "text")
+    counted = rows.mapInArrow(_count, "lang string, gram long, n long")
     table = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     most = max(1, max_cells // max(1, table.select("lang").distinct().count()))
     residue = F.pmod(F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(RESIDUES))
@@ -325,39 +326,49 @@ def train(docs: DataFrame, max_cells: int = 8_000_000, calibrate: int = 2_000, z
             parts.append((f"{where}/{low}", low, high))
         model = Model(part.langs, [], part.letters, parts=parts)
     model.z = z
-    sample = by_hash(rows, "doc_id", calibrate).select("lang", "text")
-    seen = sample.mapInArrow(_entropies(rows.sparkSession.sparkContext.broadcast(model)), "lang string, bits array<double>, n long").toArrow()
-    return _calibrated(model, seen)
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+    parts = rows.mapInArrow(_deviations(shipped), "lang string, n long, bits double, squares double, losses array<double>")
+    losses = [F.sum(F.col("losses")[i]).alias(f"loss{i}") for i in range(len(TEMPERATURES))]
+    return _calibrated(model, parts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"), F.sum("squares").alias("squares"), *losses).collect())  # one row a language
 
 
-def _entropies(model):
+def _deviations(model):
+    """Per batch and language: documents, sum and sum of squares of their own bits, and the loss at each temperature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        at = {lang: k for k, lang in enumerate(m.langs)}
         for batch in batches:
-            bits, n = model.value.score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(bits), pa.list_(pa.float64())), pa.array(n)], ["lang", "bits", "n"])
+            bits, n = m.score(batch.column(1).to_pylist())
+            own = np.array([at.get(lang, -1) for lang in batch.column(0).to_pylist()])
+            some = (n > 0) & (own >= 0)
+            own, bits = own[some], bits[some]
+            if not len(own):
+                continue
+            mine = bits[np.arange(len(own)), own]
+            sums = [np.bincount(own, w, len(m.langs)) for w in (mine, mine**2)]
+            low = bits.min(axis=1)
+            losses = [np.bincount(own, np.log(np.exp(-t * (bits - low[:, None])).sum(axis=1)) + t * (mine - low), len(m.langs)) for t in TEMPERATURES]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(m.langs, pa.string()), pa.array(np.bincount(own, minlength=len(m.langs))), *map(pa.array, sums), pa.array(list(np.stack(losses, axis=1)), pa.list_(pa.float64()))],
+                ["lang", "n", "bits", "squares", "losses"],
+            )
 
     return run
 
 
-def _calibrated(model: Model, seen: pa.Table) -> Model:
+def _calibrated(model: Model, seen: list) -> Model:
     """Temperature by likelihood on a grid; mean and spread of each language's own documents."""
-    rows = [(model.langs.index(r["lang"]), r["bits"], r["n"]) for r in seen.to_pylist() if r["n"] and r["lang"] in model.langs]
+    rows = {r["lang"]: r for r in seen if r["n"]}
     model.mean, model.spread = [0.0] * len(model.langs), [1.0] * len(model.langs)
     if not rows:
         return model
-    own = np.array([r[0] for r in rows])
-    bits = np.array([r[1] for r in rows])
-    grid = [0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0]
-    loss = []
-    for t in grid:
-        x = -t * (bits - bits.min(axis=1, keepdims=True))
-        loss.append(float(np.mean(np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(own)), own])))
-    model.temperature = grid[int(np.argmin(loss))]
-    mine = bits[np.arange(len(own)), own]
-    for k in range(len(model.langs)):
-        h = mine[own == k]
-        model.mean[k] = float(h.mean()) if len(h) else float(mine.mean())
-        model.spread[k] = max(0.15, float(h.std())) if len(h) > 1 else 0.5
+    loss = [sum(r[f"loss{i}"] for r in rows.values()) for i in range(len(TEMPERATURES))]
+    model.temperature = TEMPERATURES[int(np.argmin(loss))]
+    for k, lang in enumerate(model.langs):
+        r = rows[lang]
+        model.mean[k] = r["bits"] / r["n"]
+        model.spread[k] = max(0.15, max(0.0, r["squares"] / r["n"] - model.mean[k] ** 2) ** 0.5) if r["n"] > 1 else 0.5
     return model
 
 

@@ -225,6 +225,19 @@ def test_language_models_in_parts_keep_every_count(spark):
     assert {r.lang_pred for r in langid.identify(docs.where("lang = 'rare'"), split).collect()} == {"rare"}
 
 
+def test_calibration_uses_every_document_of_a_rare_language(spark):
+    rng = random.Random(17)
+    letters = [chr(0x4E00 + k) for k in range(400)]
+    rare = [(10_000 + k, "rare", "".join(rng.choice(letters) for _ in range(rng.randrange(5, 60)))) for k in range(6)]
+    docs = spark.createDataFrame([(k, "hot", "the cat sat on the mat " * 2) for k in range(6000)] + rare, "doc_id long, lang string, text string")
+    model = langid.train(docs)
+    bits, _ = model.score([r[2] for r in rare])
+    own = bits[:, model.langs.index("rare")]
+    k = model.langs.index("rare")
+    assert math.isclose(model.mean[k], own.mean(), rel_tol=1e-9) and math.isclose(model.spread[k], max(0.15, own.std()), rel_tol=1e-6)
+    assert {(r.lang_pred, r.rejected) for r in langid.identify(docs.where("lang = 'rare'"), model).collect()} == {("rare", False)}
+
+
 def test_ordinal_classifier(spark):
     rng = random.Random(11)
     good, bad, worse = (lambda: text_of(rng, 40, 3000)), (lambda: text_of(rng, 40, 3000) + " ### $$$ ### $$$ ### $$$"), (lambda: text_of(rng, 40, 3000) + " " + rng.choice(["idiot", "scum"]))
