@@ -221,19 +221,24 @@ def assembled(segments: list[tuple[int, bytes]], total: int | None) -> bytes:
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Last two columns (segments, total) to (payload, error)."""
+    """Last two columns (segments, total) to (payload, error); a response has the digest of what was read back."""
     for batch in batches:
-        payloads, errors = [], []
-        for kind, parts, total in zip(batch.column("type").to_pylist(), batch.column("segments"), batch.column("total").to_pylist(), strict=True):
+        payloads, errors, digests = [], [], batch.column("digest").to_pylist()
+        for k, (kind, parts, total) in enumerate(zip(batch.column("type").to_pylist(), batch.column("segments"), batch.column("total").to_pylist(), strict=True)):
             payload, error = None, None
             if kind != "revisit":
                 try:
                     own = [(p["number"], p["block"]) for p in parts.as_py()]
                     payload = payload_of(own[0][1] if len(own) == 1 and own[0][0] is None else assembled([(n or 1, b) for n, b in own], total))
+                    stored, digests[k] = digests[k], hashlib.sha1(payload).hexdigest()
+                    if stored is not None and stored != digests[k]:
+                        error = f"payload has digest {digests[k]}, its header says {stored}"
                 except ValueError as e:
                     error = str(e)
             payloads.append(payload)
             errors.append(error)
+        at = batch.schema.get_field_index("digest")
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(digests, pa.string()))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(payloads, pa.binary()), pa.array(errors, pa.string())], [*batch.schema.names[:-2], "payload", "error"])
 
 

@@ -65,6 +65,18 @@ def test_lost_segment_is_an_error_not_a_crash(spark):
     assert len(out) == 1 and out[0].payload is None and "missing" in out[0].error
 
 
+def test_payload_that_differs_from_its_digest_is_an_error(spark):
+    records = [r for page in (1, 2) for r in warc.records_of(page, "u", b"k" * 3000, None, 1000)]
+    headers, block = next(warc.parse(records[1]))
+    names = {"warc-type": "WARC-Type", "warc-record-id": "WARC-Record-ID", "warc-segment-origin-id": "WARC-Segment-Origin-ID", "warc-segment-number": "WARC-Segment-Number"}
+    records[1] = warc.record([(names[k], v) for k, v in headers.items() if k in names], block.replace(b"kk", b"kx", 1))
+    uri = f"{files.folder(spark, 'changed')}/a.warc.gz"
+    files.write(uri, b"".join(records))
+    out = {r.page_id: r for r in warc.read_archives(spark.createDataFrame([(uri,)], "archive string")).collect()}
+    assert len(out) == 2 and "digest" in out[1].error and out[2].error is None
+    assert all(r.digest == hashlib.sha1(bytes(r.payload)).hexdigest() for r in out.values()) and out[1].digest != out[2].digest
+
+
 def test_media_round_trip_and_independent_retries(spark):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "x" * 64), (5, "é" * 5000), (5, "é" * 5000), (None, "nul\0 end\0"), (6, "y" * 300_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1))
