@@ -294,8 +294,9 @@ def classes(docs: DataFrame, shingle: int, percent: int, differ: int = 50, per_r
     )
     known = features.where("print is not null and doc_id is not null")
     reps = known.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    banded = known.join(reps.withColumnRenamed("print", "_p"), (F.col("print") == F.col("_p")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["print"])
-    banded = banded.select("rep", "bits", "keys")
+    banded = known.join(reps.withColumnRenamed("print", "_p"), (F.col("print") == F.col("_p")) & (F.col("doc_id") == F.col("rep")))
+    # of repeated rows only one a block is signed
+    banded = banded.where("keys is not null").dropDuplicates(["print"]).select("rep", "bits", "keys")
     spread = banded.select("rep", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     live = materialize(spread.join(shared, "key"), "buckets")

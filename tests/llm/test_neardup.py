@@ -72,6 +72,19 @@ def test_awkward_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6, 8, 9]
 
 
+def test_repeated_rows_keep_their_links_in_any_order(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, text), (1, text), (2, text + " more"), (2, text + " more")]
+    write = neardup.materialize
+
+    def unsigned_first(df, name="step"):
+        return write(df.coalesce(1).sortWithinPartitions(F.col("keys").asc_nulls_first()) if name == "minhash" else df, name)
+
+    monkeypatch.setattr(neardup, "materialize", unsigned_first)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(neardup.classes(df, 2, 80, per_row=True)) == brute(rows, 2, 80)
+
+
 def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(None, "p q r"), (4, "p q r"), (None, "s t u")], "doc_id long, text string")
     assert sorted(((r._id, r.component_id, r.kept) for r in neardup.classes(df, 2, 80).collect()), key=str) == [(4, 4, True), (None, 4, False), (None, None, True)]
