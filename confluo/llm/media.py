@@ -10,18 +10,23 @@ Semantics
   folder. A task reads the central directory of its archive and takes the
   members whose header begins in its range; each is read by offset and length,
   checked by CRC-32, and retried by itself. A member that keeps failing gives a row with
-  ``error`` and no media; its neighbours are not affected.
+  ``error`` and no media; its neighbours are not affected. An archive without readable
+  directory gives one row with ``error`` and nothing else.
 * Batches of about ``batch_bytes`` leave through Arrow, so memory is bounded by a batch
   or by the largest member.
 
-Edge cases: a null doc_id is kept as null; rows that agree are stored twice; an empty table gives an
-empty folder and an empty result; extra columns are not stored.
+Edge cases: a null doc_id is kept as null, a doc_id that is no integer column is refused with
+ValueError; rows that agree are stored twice; ties do not arise; an empty table gives an
+empty folder and an empty result; extra columns are not stored, whatever their names; a very long text is one
+member, held whole while it is written or decoded (about four times its bytes); an image that cannot be
+decoded gives a row with ``error``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -29,12 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from confluo.llm import files
+from confluo.llm.names import integer_id
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -65,19 +72,23 @@ def decode_png(media: bytes) -> tuple[np.ndarray, int]:
         raise ValueError("no PNG signature")
     at, packed, n_bytes, size = 8, [], -1, (0, 0)
     while at < len(media):
+        if len(media) < at + 12 or len(media) < at + 12 + struct.unpack(">I", media[at : at + 4])[0]:
+            raise ValueError("chunk is cut short")
         length, kind = struct.unpack(">I4s", media[at : at + 8])
         data = media[at + 8 : at + 8 + length]
         if struct.unpack(">I", media[at + 8 + length : at + 12 + length])[0] != zlib.crc32(kind + data):
             raise ValueError("chunk checksum differs")
         if kind == b"IHDR":
             size = struct.unpack(">II", data[:8])
-            if data[8:] != b"\x08\0\0\0\0":
-                raise ValueError("not 8-bit greyscale")
+            if size[0] != WIDTH or not size[1] or data[8:] != b"\x08\0\0\0\0":
+                raise ValueError(f"not 8-bit greyscale of width {WIDTH}")
         elif kind == b"IDAT":
             packed.append(data)
         elif kind == b"tEXt" and data.startswith(b"Bytes\0"):
             n_bytes = int(data[6:])
         at += 12 + length
+    if n_bytes < 0 or not size[0]:
+        raise ValueError("no size")
     lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(size[1], size[0] + 1)
     if lines[:, 0].any():
         raise ValueError("filtered scan lines")
@@ -95,7 +106,7 @@ def feature(samples: np.ndarray) -> str:
 
 def _store(folder: str, roll: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[str] = []
+        done: list[tuple[str, int]] = []
         held: io.BytesIO | None = None
         archive: zipfile.ZipFile | None = None
         n = 0
@@ -104,7 +115,7 @@ def _store(folder: str, roll: int):
             archive.close()
             name = files.attempt_name("media", ".zip")
             files.write(f"{folder}/{name}", held.getvalue())
-            done.append(name)
+            done.append((name, held.tell()))
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -119,7 +130,7 @@ def _store(folder: str, roll: int):
                     archive = None
         if archive is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["name"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["name", "size"])
 
     return run
 
@@ -127,12 +138,14 @@ def _store(folder: str, roll: int):
 def store(docs: DataFrame, roll_bytes: int = 32 << 20) -> str:
     """Write ``(doc_id, text)`` as archives of images; returns the folder.
 
-    The names of finished archives (one for every ``roll_bytes``, not one per document)
-    are listed in the folder, so files of repeated tasks are not read.
+    One job writes all archives side by side. The names and sizes of those that finished tasks wrote
+    (one row for every ``roll_bytes``, not one per document) are a Parquet table
+    in the folder, so files of repeated tasks are not read.
     """
+    integer_id(docs, "doc_id")
     folder = files.folder(docs.sparkSession, "media")
-    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store(folder, roll_bytes), "name string")
-    files.write(f"{folder}/{MANIFEST}", "\n".join(sorted(r.name for r in names.toLocalIterator())).encode())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows.mapInArrow(_store(folder, roll_bytes), "name string, size long").write.parquet(f"{folder}/{MANIFEST}")
     return folder
 
 
@@ -165,9 +178,10 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         system, path = files.file_system(self.folder)
-        if system.get_file_info(f"{path}/{MANIFEST}").type == pafs.FileType.File:
-            names = [x for x in files.read(f"{self.folder}/{MANIFEST}").decode().split("\n") if x]
-            found = [(x, system.get_file_info(f"{path}/{x}").size) for x in names]
+        listed = [f.path for f in system.get_file_info(pafs.FileSelector(f"{path}/{MANIFEST}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
+        if listed:
+            tables = [pq.read_table(system.open_input_file(x)) for x in listed]
+            found = [pair for t in tables for pair in zip(t.column("name").to_pylist(), t.column("size").to_pylist(), strict=True)]
         else:
             found = [(f.base_name, f.size) for f in system.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.base_name.endswith(".zip")]
         return [Range(f"{self.folder}/{x}", a, min(a + self.split, size)) for x, size in sorted(found) for a in range(0, size, self.split)]
@@ -189,7 +203,12 @@ class MediaReader(DataSourceReader):
         system, path = files.file_system(partition.archive)
         rows, size = [], 0
         with system.open_input_file(path) as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end]
+            try:
+                members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end]
+            except (zipfile.BadZipFile, OSError, ValueError, struct.error) as e:  # said once an archive
+                members = []
+                if not partition.start:
+                    rows.append({"archive": partition.archive, "member": None, "offset": None, "media": None, "error": f"no central directory: {e}"})
             for info in sorted(members, key=lambda m: m.header_offset):
                 media, error = None, None
                 try:
@@ -220,16 +239,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for member, media, error in zip(batch.column("member").to_pylist(), batch.column("media"), batch.column("error").to_pylist(), strict=True):
-            doc = member.partition("/")[2].removesuffix(".png")
-            row: dict = {"doc_id": int(doc) if doc else None, "error": error}
+            row: dict = {"doc_id": None, "error": error}
             media = media.as_py()
+            if member is not None:
+                doc = member.partition("/")[2].removesuffix(".png")
+                row["doc_id"] = int(doc) if re.fullmatch(r"-?[0-9]+", doc) else None
             if media is not None:
                 try:
                     samples, n = decode_png(media)
                     payload = samples.tobytes()
                     row |= {"n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:])}
                     row |= {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(samples)}
-                except (ValueError, zlib.error) as e:
+                except (ValueError, zlib.error, struct.error) as e:
                     row["error"] = str(e)
             out.append(row)
         yield pa.RecordBatch.from_pylist(out, pa.schema(list(kinds.items())))
