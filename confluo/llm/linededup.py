@@ -6,17 +6,21 @@ Semantics
   of one document. Documents with fewer lines have no window and stay whole.
 * Occurrences of a window are ordered by (doc_id, row hash, position), null
   doc_id first. The first one stays; every line that a later occurrence covers
-  goes. Overlapping windows are judged on the input, so a run of equal lines
-  shrinks to its first ``width`` lines.
+  goes. Overlapping windows are judged on the input, so a run of more
+  than ``width`` equal lines shrinks to its first one.
 * Rows that agree in doc_id and text are one document: both rows get the same
   result. Null text gives null text and 0 lines; the empty text is one empty
   line. Empty tables give empty results. Extra columns stay; names of result
   columns are replaced.
 
-Plan: window hashes (two 64-bit hashes) are computed per row; only hashes that
-occur twice or more are joined back, by a sort-merge join that AQE can split
-when one window is very common; the covered positions are merged per
-document and joined to the documents.
+Plan: the windows of a text are hashed once (128 bits of BLAKE2 over those of its lines) and
+written; an aggregate with map-side combine finds the windows that occur twice or more and their first
+occurrence. These are joined back: windows that hold a large share of all rows by broadcast
+(a bounded number, ``skew.keyed_join``), the others by a sort-merge join on the hash. The covered positions
+are merged per document and joined to the documents.
+
+A very long text is hashed whole by one task, which holds its lines and their hashes. Ties do not arise but
+between rows that agree in doc_id and text, see above. Internal columns get names that the table does not have.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from confluo.llm.names import fresh, named, without
+from confluo.llm.skew import keyed_join
+from confluo.plans.shared import materialize
+
 RESULT = ["n_lines", "n_removed", "kept_text"]
 
 
@@ -60,39 +68,27 @@ def repeated_positions(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, row, covered)``: per document the window starts that occurred earlier."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    windows = keyed.mapInArrow(_windows(width), f"doc_id {kind}, row long, pos int, h1 long, h2 long")
+    windows = materialize(keyed.mapInArrow(_windows(width), f"doc_id {kind}, row long, pos int, h1 long, h2 long"), "windows")
     here = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "pos")
-    repeated = (
-        windows.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first"))
-        .where("n > 1")
-        .select("h1", "h2", "first")
-    )
-    return (
-        windows.join(repeated, ["h1", "h2"])
-        .where(here > F.col("first"))
-        .groupBy("doc_id", "row")
-        .agg(F.collect_set("pos").alias("covered"))
-    )
+    repeated = materialize(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).where("n > 1"), "repeated")
+    joined = keyed_join(windows, repeated.drop("n"), repeated, ["h1", "h2"])
+    return joined.where(here > F.col("first")).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("covered"))
 
 
 def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     """Documents with ``n_lines, n_removed, kept_text``."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
-    covered = repeated_positions(docs, width).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "covered")
-    lines = F.split("text", "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("covered", lambda p: F.sequence(p, p + (width - 1)))))
-    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(
-        covered, (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left"
-    )
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_gone", gone)
-        .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"))
-        .withColumn("kept_text", F.when(F.col("n_removed") > 0, kept).otherwise(F.col("text")))
-        .drop("_id", "_row", "_key", "covered", "_lines", "_gone")
+    docs = without(docs, RESULT)
+    key, other, row, covered, lines, gone = fresh([*docs.columns, *RESULT], "key", "id", "row", "covered", "lines", "gone")
+    found = repeated_positions(docs, width).toDF(other, row, covered)
+    every = F.array_distinct(F.flatten(F.transform(covered, lambda p: F.sequence(p, p + (width - 1)))))
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, (F.col(key) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(other)), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n")
+    n_removed = F.coalesce(F.when(F.col(gone).isNotNull(), F.size(gone)), F.lit(0)).cast("long")
+    placed = joined.select(*[named(c) for c in docs.columns], F.split("text", "\n", -1).alias(lines), every.alias(gone))
+    return placed.select(
+        *[named(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        n_removed.alias("n_removed"),
+        F.when(n_removed > 0, kept).otherwise(F.col("text")).alias("kept_text"),
     )

@@ -1,0 +1,22 @@
+"""Joins to a table with one row a key, of which any key may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is hot when it holds more than this part of the rows, so there are at most HOT hot keys.
+HOT = 20_000
+
+
+def keyed_join(rows: DataFrame, lookup: DataFrame, counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """``rows`` joined (inner) on ``keys`` with ``lookup``, which has each key once.
+
+    ``counts`` (keys, ``n``) says how many rows each key has. Keys with more than 1/HOT of all rows,
+    of which there are at most HOT, meet their rows by broadcast and are never shuffled; all other keys are
+    too small to burden the task that they are dealt to.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col(n) > total / HOT).select(*keys))
+    few = F.broadcast(lookup.join(hot, keys, "left_semi"))
+    return rows.join(few, keys).unionByName(rows.join(hot, keys, "left_anti").join(lookup, keys))
