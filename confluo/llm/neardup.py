@@ -28,11 +28,17 @@ sizes allow it without any (found by an equi-join on the size). Members far from
 conditions: the triangle inequality of the Jaccard distance, and at most ``differ`` of 200
 signature bits differing (a pair at 0.8 is missed with chance 1e-8).
 
+What this may miss: a similar pair that no band brings together (chance 1.2e-7 at 0.8, less above) and, among
+pairs of one bucket that are both far from its hub, one of more than ``differ`` bits; ``differ=None`` leaves
+that filter out. Words and shingles are known by 64-bit hashes, so sets are the full sets up to a collision.
+
 Edge cases: null text and empty text have no shingles and stay; a null doc_id
 links nothing by itself, its row takes the component of its equal texts and
-is kept only when no other row has that text; rows that agree in doc_id are judged
-by their own texts; empty tables give empty results; extra columns stay, names
-of result columns are replaced.
+is kept only when no other row has that text; doc_id should name one text: of rows that share it each has the
+component of its own text, but links of texts that the same doc_id represents are pooled; of equal texts the smallest
+doc_id stays, there are no other ties; empty tables give empty results; extra columns of any name stay, names
+of result columns are replaced. A very long text is one task's work, with some 30 bytes a byte of text, and its
+set of 8 bytes a shingle is held whole when it is compared.
 """
 
 from __future__ import annotations
@@ -46,6 +52,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.llm.bytesops import ASCII_LOWER, SPACED, U64, blocks, mix, utf8, word_hashes, word_spans
+from confluo.llm.names import fresh, without
+from confluo.llm.skew import keyed_join
 from confluo.operators.components import connected_components
 from confluo.plans.shared import materialize
 
@@ -217,17 +225,19 @@ def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, p
     return joined.mapInArrow(_compare(percent), f"a {kind}, b {kind}, na long, nb long, common long, linked boolean, own array<long>")
 
 
-def _open_pairs(spokes: DataFrame, part: DataFrame, live: DataFrame, hubs: DataFrame, bits: DataFrame, percent: int, differ: int) -> DataFrame:
+def _open_pairs(spokes: DataFrame, part: DataFrame, live: DataFrame, hubs: DataFrame, bits: DataFrame, percent: int, differ: int | None) -> DataFrame:
     """Pairs ``(a, b)`` of bucket members in different components that may still be similar."""
     comp = part.select(F.col("node").alias("_n"), "component")
 
     def placed(df: DataFrame, by: str, name: str) -> DataFrame:
         return df.join(comp, df[by] == F.col("_n"), "left").withColumn(name, F.coalesce("component", by)).drop("_n", "component")
 
-    spokes = placed(placed(spokes.withColumnRenamed("a", "x").withColumnRenamed("b", "hub"), "x", "cx"), "hub", "ch")
-    spokes = materialize(spokes.withColumn("near", F.col("own").isNotNull()), "spokes")
-    unsettled = spokes.where("cx <> ch").select("hub").distinct()
-    around = spokes.join(unsettled, "hub", "left_semi")
+    spokes = materialize(placed(spokes.withColumnsRenamed({"a": "x", "b": "hub"}).withColumn("near", F.col("own").isNotNull()), "x", "cx"), "placed")
+    # per hub its component and whether all that were compared with it are in it; a hub of a third of all rows is joined by broadcast
+    around = placed(spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("cx").alias("low"), F.max("cx").alias("high")), "hub", "ch")
+    around = materialize(around.select("hub", "n", "ch", ((F.col("low") != F.col("ch")) | (F.col("high") != F.col("ch"))).alias("open")).where("open").drop("open"), "open")
+    unsettled = around.select("hub")
+    around = materialize(keyed_join(spokes, around.drop("n"), around.select("hub", "n"), ["hub"]), "spokes")
     near = around.where("near")
     need = lambda nx, ny: F.ceil((nx + ny) * percent / (100 + percent))  # noqa: E731  what a link has in common at least
     one = near.where("cx <> ch").select("hub", "x", "cx", F.col("na").alias("nx"), F.col("common").alias("mx"))
@@ -256,10 +266,10 @@ def _open_pairs(spokes: DataFrame, part: DataFrame, live: DataFrame, hubs: DataF
         .select("x", "y")
     )
     far = around.where("not near").select("x").distinct()
-    mixed = live.join(hubs, "key").join(unsettled, "hub", "left_semi").select("key", "hub", F.col("rep").alias("x"))
+    mixed = live.join(hubs.join(unsettled, "hub", "left_semi"), "key").select("key", "hub", F.col("rep").alias("x"))
     apart = F.lit(1.0) - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-    known = spokes.select("hub", "x", "cx", "ch", "near", apart.alias("d"))
-    centre = spokes.select("hub", F.col("hub").alias("x"), F.col("ch").alias("cx"), "ch", F.lit(True).alias("near"), F.lit(0.0).alias("d")).distinct()
+    known = around.select("hub", "x", "cx", "ch", "near", apart.alias("d"))
+    centre = around.select("hub", F.col("hub").alias("x"), F.col("ch").alias("cx"), "ch", F.lit(True).alias("near"), F.lit(0.0).alias("d")).distinct()
     member = mixed.join(known.unionByName(centre), ["hub", "x"]).join(bits.select(F.col("rep").alias("x"), "bits"), "x")
     if far.isEmpty():
         distant = shared.limit(0)
@@ -267,24 +277,25 @@ def _open_pairs(spokes: DataFrame, part: DataFrame, live: DataFrame, hubs: DataF
         left = member.where("not near").select("key", "x", "cx", "ch", F.col("d").alias("dx"), F.col("bits").alias("bx"))
         right = member.select("key", F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("ch").alias("hy"), F.col("d").alias("dy"), F.col("bits").alias("by"))
         differing = sum((F.bit_count(F.col("bx")[k].bitwiseXOR(F.col("by")[k])) for k in range(4)), F.lit(0))
+        alike = F.lit(True) if differ is None else differing <= differ
         distant = (
-            left.join(right, (left.key == right.key) & (F.col("cx") != F.col("cy")) & ((F.col("cx") != F.col("ch")) | (F.col("cy") != F.col("hy"))) & (F.abs(F.col("dx") - F.col("dy")) <= 1.0 - percent / 100 + 1e-9) & (differing <= differ))
+            left.join(right, (left.key == right.key) & (F.col("cx") != F.col("cy")) & ((F.col("cx") != F.col("ch")) | (F.col("cy") != F.col("hy"))) & (F.abs(F.col("dx") - F.col("dy")) <= 1.0 - percent / 100 + 1e-9) & alike)
             .select("x", "y")
         )
     rest = shared.unionByName(sized).unionByName(distant)
     return rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, differ: int = 50) -> DataFrame:
-    """``docs`` with ``n_shingles, component_id, kept``."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
-    found = classes(docs, shingle, percent, differ)
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(found, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.drop("_row", "_r", "_id")
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, differ: int | None = 50) -> DataFrame:
+    """``docs`` with ``n_shingles, component_id, kept``; ``differ=None`` compares far pairs without looking at bits first."""
+    docs = without(docs, RESULT)
+    key, other, row = fresh([*docs.columns, *RESULT], "key", "id", "row")
+    found = classes(docs, shingle, percent, differ).withColumnsRenamed({"_id": other, "_r": row})
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, (F.col(key) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(other)), "left")
+    return joined.drop(key, other, row)
 
 
-def classes(docs: DataFrame, shingle: int, percent: int, differ: int = 50, per_row: bool = False) -> DataFrame:
+def classes(docs: DataFrame, shingle: int, percent: int, differ: int | None = 50, per_row: bool = False) -> DataFrame:
     """``(_id, _r, n_shingles, component_id, kept)``: one line per distinct row, or per row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
@@ -333,7 +344,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
 
     Rows that agree in doc_id and text are copies of each other: one stays.
     """
-    kept = classes(docs, shingle, percent).where("kept").select("_id", "_r")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    rows = keyed.join(kept, (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    key, other, row = fresh(docs.columns, "key", "id", "row")
+    kept = classes(docs, shingle, percent).where("kept").select(F.col("_id").alias(other), F.col("_r").alias(row))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    rows = keyed.join(kept, (F.col(key) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(other)), "left_semi")
+    return rows.dropDuplicates(["doc_id", key]).drop(key)
