@@ -16,19 +16,21 @@ Semantics
   cross-entropy lies beyond what calibration saw for that language at that
   length (mean + ``z`` times the spread of documents and of single characters).
 
-Bounds: no count is dropped. One model holds at most ``max_cells`` n-gram x language
-cells. When the corpus has more distinct 4-grams, they are split by their two
-middle characters into parts of that size, which workers read one after the other and
-whose sums add up to the same result: orders 4 and 3 of an n-gram lie in one part, and
+Bounds: no count is dropped. The 4-grams are dealt by their two middle characters to parts of at most
+``max_cells`` n-gram x language cells, as many as the corpus needs. Executors build the parts, each
+beside the others, and write them to the shared folder; tasks that score read them one after the
+other, once for ``held_bytes`` of documents, and add up what they find. Orders 4 and 3 of an n-gram lie in one part, and
 each part has the pairs of characters and single ones of all. A pair is never split, so
-the bound is exceeded where one pair alone has more. Temperature and rejection are
-fitted on all training documents, from sums per language.
+the bound is exceeded where one pair alone has more. The driver holds the number of cells for each of 4,093 residues of
+pairs, and the continuation counts of pairs (at most the square of the alphabet a language) on their way to the
+shared folder. Temperature and rejection are fitted on all training documents, from sums per language.
 
 Edge cases: null text, empty text and text without letters are ``und`` with
 score 0 and rejected; rows without lang or doc_id are not learned from;
 without any training document everything is ``und``; rows are judged one by
-one, so repeated rows agree; extra columns stay, names of result columns are
-replaced.
+one, so repeated rows agree; of languages with equal cross-entropy the first by code point
+is predicted; a very long text is scored whole in one task, with some 50 bytes a character; extra columns of
+any name stay, names of result columns are replaced.
 """
 
 from __future__ import annotations
@@ -41,9 +43,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from confluo.llm import files
 from confluo.llm.bytesops import U64, mix
+from confluo.llm.names import numbered, without
 from confluo.plans.shared import materialize
 
 RESULT = ["lang_pred", "score", "entropy", "rejected"]
@@ -189,23 +193,15 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 @dataclass
-class Model:
-    """All languages: their levels, and the bits of every known 4-gram under each of them.
-
-    A model in ``parts`` has its levels and bits in one file for each range of residues."""
+class Part:
+    """All languages: their levels, and the bits of every 4-gram of this part under each of them."""
 
     langs: list[str]
     levels: list[list[Level]]
     letters: int
+    discount: float = 0.75
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
     bits: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    temperature: float = 1.0
-    mean: list[float] = field(default_factory=list)
-    spread: list[float] = field(default_factory=list)
-    noise: float = 3.0
-    discount: float = 0.75
-    z: float = 6.0
-    parts: list[tuple[str, int, int]] = field(default_factory=list)
 
     def entropy(self, codes: np.ndarray, k: int) -> np.ndarray:
         """Bits of 4-grams under language k, by interpolation from the lowest order."""
@@ -223,27 +219,18 @@ class Model:
             p = np.where(there, lower, p)
         return -np.log2(p)
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character of each text under each language, and its number of 4-grams."""
-        if not self.parts:
-            return self._score(texts, None)
-        out, sizes = 0.0, np.zeros(len(texts), np.int64)
-        for uri, low, high in self.parts:
-            own, sizes = pickle.loads(files.read(uri))._score(texts, (low, high))
-            out = out + own
-        return out, sizes
-
-    def _score(self, texts: list[str | None], within: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray]:
-        """The share that the 4-grams ``within`` a range of residues have in the bits per character."""
+    def score(self, texts: list[str | None], within: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The share that the 4-grams ``within`` a range of residues have in the bits per character of each text
+        under each language, and its number of 4-grams."""
         out, sizes = np.full((len(texts), len(self.langs)), np.nan), np.zeros(len(texts), np.int64)
         for i, j in _blocks(texts):
             codes, n = grams(texts[i:j])
             sizes[i:j] = n
             some = np.flatnonzero(n)
-            if not len(some) or not self.langs:
+            if not len(some):
                 continue
             mine = slice(None)
-            if within:
+            if within != (0, RESIDUES):
                 residues = _residue(codes)
                 mine = np.flatnonzero((residues >= within[0]) & (residues < within[1]))
             at, there = _find(self.keys, mix(codes[mine]))
@@ -259,36 +246,106 @@ class Model:
         return out, sizes
 
 
+_kept: dict[str, Part] = {}
+
+
+def load(uri: str, keep: bool = False) -> Part:
+    """A part from the shared folder; a worker keeps the only one of a model."""
+    if uri in _kept:
+        return _kept[uri]
+    part = pickle.loads(files.read(uri))
+    if keep:
+        _kept.clear()
+        _kept[uri] = part
+    return part
+
+
+@dataclass
+class Model:
+    """Languages, where their parts lie (file and range of residues), and what calibration found."""
+
+    langs: list[str]
+    parts: list[tuple[str, int, int]]
+    temperature: float = 1.0
+    mean: list[float] = field(default_factory=list)
+    spread: list[float] = field(default_factory=list)
+    noise: float = 3.0
+    z: float = 6.0
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per character of each text under each language, and its number of 4-grams."""
+        if not self.parts:
+            return np.full((len(texts), 0), np.nan), np.zeros(len(texts), np.int64)
+        out, sizes = 0.0, np.zeros(len(texts), np.int64)
+        for uri, low, high in self.parts:
+            own, sizes = load(uri, len(self.parts) == 1).score(texts, (low, high))
+            out = out + own
+        return out, sizes
+
+    def scored(self, batches: Iterator[pa.RecordBatch], text: int, held_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Batches with their scores; several are held together when there is more than one part to read."""
+        held, size = [], 0
+
+        def judged():
+            bits, n = self.score([t for b in held for t in b.column(text).to_pylist()])
+            ends = np.cumsum([b.num_rows for b in held])
+            for b, end in zip(held, ends.tolist(), strict=True):
+                yield b, bits[end - b.num_rows : end], n[end - b.num_rows : end]
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if len(self.parts) < 2 or size >= held_bytes:
+                yield from judged()
+                held, size = [], 0
+        if held:
+            yield from judged()
+
+
 def _arrays(counts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not counts.num_rows:
         return np.zeros(0, str), np.zeros(0, U64), np.zeros(0, np.int64)
     return counts.column("lang").to_numpy(zero_copy_only=False).astype(str), counts.column("gram").to_numpy().view(U64), counts.column("n").to_numpy()
 
 
-def build(counts: pa.Table, discount: float = 0.75, pairs: pa.Table | None = None) -> Model:
-    """Kneser-Ney levels per language from ``(lang, gram, n)``. For a part of the 4-grams,
-    ``pairs`` are the continuation counts of order 2 over all of them."""
+def build(counts: pa.Table, pairs: pa.Table, discount: float = 0.75) -> Part:
+    """Kneser-Ney levels per language from ``(lang, gram, n)`` of a part and, as ``pairs``, the
+    continuation counts of order 2 over all parts."""
     names, codes, n = _arrays(counts)
-    pair_names, pair_codes, pair_n = _arrays(pairs if pairs is not None else counts.slice(0, 0))
-    langs = sorted(set((names if pairs is None else pair_names).tolist()))
+    pair_names, pair_codes, pair_n = _arrays(pairs)
+    langs = sorted(set(pair_names.tolist()))
     levels = []
     for lang in langs:
         own, weight = codes[names == lang], n[names == lang]
         stack = [_level(own, weight)]
-        for order in range(ORDER - 1, 0, -1):
-            own, weight = np.unique(own & U64((1 << (16 * order)) - 1), return_counts=True)  # continuation counts
-            if order == 2 and pairs is not None:
-                own, weight = pair_codes[pair_names == lang], pair_n[pair_names == lang]
-            stack.append(_level(own, weight))
+        own, weight = np.unique(own & U64((1 << 48) - 1), return_counts=True)  # continuation counts
+        stack.append(_level(own, weight))
+        own, weight = pair_codes[pair_names == lang], pair_n[pair_names == lang]
+        stack.append(_level(own, weight))
+        own, weight = np.unique(own & U64(0xFFFF), return_counts=True)
+        stack.append(_level(own, weight))
         levels.append(stack[::-1])
-    letters = len(np.unique((codes if pairs is None else pair_codes) & U64(0xFFFF)))
-    model = Model(langs, levels, letters, discount=discount)
+    part = Part(langs, levels, len(np.unique(pair_codes & U64(0xFFFF))), discount)
     every = np.unique(codes)
-    if langs:
-        bits = np.stack([model.entropy(every, k) for k in range(len(langs))], axis=1).astype(np.float32)
-        order = np.argsort(mix(every))
-        model.keys, model.bits = mix(every)[order], bits[order]
-    return model
+    hashed = mix(every)
+    order = np.argsort(hashed)
+    part.keys = hashed[order]
+    part.bits = np.stack([part.entropy(every, k).astype(np.float32)[order] for k in range(len(langs))], axis=1)
+    return part
+
+
+def _build(folder: str, pairs: str, ranges: list[tuple[int, int]]):
+    """Write one part; its file is named by the attempt, so only what a finished task returned is read."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high = ranges[table.column("part")[0].as_py()]
+        with pa.ipc.open_stream(files.read(pairs)) as reader:
+            part = build(table, reader.read_all())
+        uri = f"{folder}/{files.attempt_name(f'part-{low}', '.pickle')}"
+        files.write(uri, pickle.dumps(part, pickle.HIGHEST_PROTOCOL))
+        return pa.table({"uri": [uri], "low": [low], "high": [high]})
+
+    return run
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -306,40 +363,39 @@ def by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy(F.pmod(h, F.lit(1 << 40)), key).limit(most)
 
 
-def train(docs: DataFrame, max_cells: int = 8_000_000, z: float = 6.0) -> Model:
+def train(docs: DataFrame, max_cells: int = 2_000_000, z: float = 6.0, held_bytes: int = 64 << 20) -> Model:
     """Fit on every row of ``(doc_id, lang, text)`` with lang and text."""
+    spark = docs.sparkSession
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
     counted = rows.mapInArrow(_count, "lang string, gram long, n long")
     table = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    most = max(1, max_cells // max(1, table.select("lang").distinct().count()))
+    triples = table.select("lang", F.col("gram").bitwiseAND(F.lit((1 << 48) - 1)).alias("gram")).distinct()
+    pairs = triples.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    langs = sorted(set(pairs.column("lang").to_pylist()))
     residue = F.pmod(F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(RESIDUES))
-    ranges = _ranges({r.r: r.c for r in table.groupBy(residue.alias("r")).agg(F.count(F.lit(1)).alias("c")).collect()}, most)
-    if len(ranges) == 1:
-        model = build(table.toArrow())
-    else:
-        triples = table.select("lang", F.col("gram").bitwiseAND(F.lit((1 << 48) - 1)).alias("gram")).distinct()
-        pairs = triples.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 32) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-        where, parts = files.folder(docs.sparkSession, "langid"), []
-        for low, high in ranges:
-            part = build(table.where(residue.between(low, high - 1)).toArrow(), pairs=pairs)
-            files.write(f"{where}/{low}", pickle.dumps(part, pickle.HIGHEST_PROTOCOL))
-            parts.append((f"{where}/{low}", low, high))
-        model = Model(part.langs, [], part.letters, parts=parts)
-    model.z = z
-    shipped = rows.sparkSession.sparkContext.broadcast(model)
-    parts = rows.mapInArrow(_deviations(shipped), "lang string, n long, bits double, squares double, losses array<double>")
+    ranges = _ranges({r.r: r.c for r in table.groupBy(residue.alias("r")).agg(F.count(F.lit(1)).alias("c")).collect()}, max(1, max_cells // max(1, len(langs))))
+    folder = files.folder(spark, "langid")
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pairs.schema) as out:
+        out.write_table(pairs)
+    files.write(f"{folder}/pairs", sink.getvalue().to_pybytes())
+    dealt = spark.createDataFrame([(r, k) for k, (low, high) in enumerate(ranges) for r in range(low, high)], "r long, part int")
+    parts = table.withColumn("r", residue).join(F.broadcast(dealt), "r").drop("r")
+    parts = materialize(parts.groupBy("part").applyInArrow(_build(folder, f"{folder}/pairs", ranges), "uri string, low long, high long"), "parts")
+    model = Model(langs, sorted((tuple(r) for r in parts.collect()), key=lambda p: p[1]), z=z)
+    shipped = spark.sparkContext.broadcast(model)
+    sums = rows.mapInArrow(_deviations(shipped, held_bytes), "lang string, n long, bits double, squares double, losses array<double>")
     losses = [F.sum(F.col("losses")[i]).alias(f"loss{i}") for i in range(len(TEMPERATURES))]
-    return _calibrated(model, parts.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"), F.sum("squares").alias("squares"), *losses).collect())  # one row a language
+    return _calibrated(model, sums.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"), F.sum("squares").alias("squares"), *losses).collect())  # one row a language
 
 
-def _deviations(model):
+def _deviations(model, held_bytes: int):
     """Per batch and language: documents, sum and sum of squares of their own bits, and the loss at each temperature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         at = {lang: k for k, lang in enumerate(m.langs)}
-        for batch in batches:
-            bits, n = m.score(batch.column(1).to_pylist())
+        for batch, bits, n in m.scored(batches, 1, held_bytes):
             own = np.array([at.get(lang, -1) for lang in batch.column(0).to_pylist()])
             some = (n > 0) & (own >= 0)
             own, bits = own[some], bits[some]
@@ -372,11 +428,10 @@ def _calibrated(model: Model, seen: list) -> Model:
     return model
 
 
-def _predict(model, text: int):
+def _predict(model, text: int, held_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
-            bits, n = m.score(batch.column(text).to_pylist())
+        for batch, bits, n in m.scored(batches, text, held_bytes):
             some = np.flatnonzero(n) if m.langs else np.zeros(0, np.int64)
             pred, score, best = np.full(len(n), "und", object), np.zeros(len(n)), np.full(len(n), np.nan)
             rejected = np.ones(len(n), bool)
@@ -396,11 +451,12 @@ def _predict(model, text: int):
     return run
 
 
-def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, held_bytes: int = 64 << 20) -> DataFrame:
     """The ``carry`` columns (default all) with ``lang_pred, score, entropy, rejected``."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
+    docs = without(docs, RESULT)
     carry = list(docs.columns) if carry is None else carry
+    carried, fields = numbered(docs, carry)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(*carry, F.col("text").alias("_scored"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return slim.mapInArrow(_predict(shipped, len(carry)), f"{schema}, lang_pred string, score double, entropy double, rejected boolean")
+    kinds = T.StructType.fromDDL("lang_pred string, score double, entropy double, rejected boolean").fields
+    judged = docs.select(*carried, F.col("text").cast("string").alias("_scored")).mapInArrow(_predict(shipped, len(carry), held_bytes), T.StructType([*fields, *kinds]))
+    return judged.toDF(*carry, *RESULT)
