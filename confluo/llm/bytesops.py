@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
+PIECE = 1 << 18
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
@@ -79,18 +81,46 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _powers(n: int) -> np.ndarray:
+    powers = np.empty(n, U64)
+    powers[:1] = 1
+    np.cumprod(np.full(max(n - 1, 0), BASE, U64), out=powers[1:])
+    return powers
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word's bytes."""
-    if not len(starts):
-        return np.zeros(0, U64)
+    """64-bit hash of every word's bytes: its polynomial at ``BASE``, then scrambled with its length.
+
+    Works through ``PIECE`` bytes at a time, so that one very long text or word needs no more beside it.
+    """
     lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    inner = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    powers = np.empty(int(lengths.max()), U64)
-    powers[0] = 1
-    np.cumprod(np.full(len(powers) - 1, BASE, U64), out=powers[1:])
-    values = (data[inner + np.repeat(starts, lengths)].astype(U64) + U64(1)) * powers[inner]
-    return mix(np.add.reduceat(values, first) + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
+    sums = np.zeros(len(starts), U64)
+    for k in np.flatnonzero(lengths > PIECE).tolist():
+        powers, factor, acc = _powers(PIECE), 1, 0
+        for at in range(int(starts[k]), int(ends[k]), PIECE):
+            part = data[at : min(at + PIECE, int(ends[k]))].astype(U64) + U64(1)
+            acc = (acc + factor * int((part * powers[: len(part)]).sum())) % (1 << 64)
+            factor = factor * pow(BASE, len(part), 1 << 64) % (1 << 64)
+        sums[k] = acc
+    short = np.flatnonzero((lengths <= PIECE) & (lengths > 0))
+    upto = np.cumsum(lengths[short])
+    at = 0
+    while at < len(short):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * PIECE, side="right")))
+        rows = short[at:to]
+        own = lengths[rows]
+        first = np.cumsum(own) - own
+        inner = np.arange(int(own.sum())) - np.repeat(first, own)
+        values = (data[inner + np.repeat(starts[rows], own)].astype(U64) + U64(1)) * _powers(int(own.max()))[inner]
+        sums[rows] = np.add.reduceat(values, first)
+        at = to
+    return mix(sums + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def slow_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2 of every word's bytes, for the case that two words share their quick hash."""
+    raw = data.tobytes()
+    return np.array([int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], U64)
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

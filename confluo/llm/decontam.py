@@ -17,28 +17,34 @@ builds a suffix array per shard, over the suffixes that can hold a whole window
 then binary-searched in it together, one word deeper at a time. Words are
 matched by 64-bit hash and, for everything that was hit, compared byte by byte.
 
-The benchmark is dealt into blocks of at most ``block_bytes`` of text by a
-hash of its rows; only one block is shipped to the tasks at a time, and the
-hits of several blocks are merged per document. Documents are never shuffled
-when the benchmark is one block.
+The benchmark is dealt into blocks of about ``block_bytes`` of text by a hash of its rows. Tasks
+build the blocks and write them to the shared folder; every task that scans documents reads the blocks
+one after the other, each once for ``held_bytes`` of documents, and merges what they hit in a document. So a
+benchmark of any size takes one scan of the documents and no shuffle of them; one block is in memory at a time.
 
 Edge cases: null text has no words; documents without words are clean; null
-item_id reads as ``null``; rows that agree in item_id are one item; an empty
-benchmark hits nothing; an empty table gives an empty result. Extra columns
-stay; names of result columns are replaced.
+item_id reads as ``null``; rows that agree in item_id are one item; repeated rows are judged alike; of equally
+long longest matches of an item the first in the document is named; an empty
+benchmark hits nothing; an empty table gives an empty result. Extra columns of any name
+stay; names of result columns are replaced. A very long text is a shard by itself in one task, with
+some 60 bytes a byte of text; one item longer than ``block_bytes`` is a block by itself.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from confluo.llm.bytesops import ALNUM, ASCII_LOWER, blocks, gather, merge_runs, utf8, word_hashes, word_spans
+from confluo.llm import files
+from confluo.llm.bytesops import ALNUM, ASCII_LOWER, blocks, gather, merge_runs, slow_hashes, utf8, word_hashes, word_spans
+from confluo.llm.names import numbered, set_aside, without
+from confluo.plans.shared import materialize
 
 RESULT = ["n_words", "runs", "items", "n_hit", "contaminated"]
 ITEM = pa.struct([("item_id", pa.string()), ("n_words", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())])
@@ -53,12 +59,13 @@ class TestSuffixes:
         data, offsets = utf8(pa.array(texts, pa.large_string()))
         data = ASCII_LOWER[data]
         starts, ends, first = word_spans(data, offsets, ALNUM)
-        hashes = word_hashes(data, starts, ends)
-        self.hashes, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         self.words = data
-        self.word_start, self.word_end = starts[one], ends[one]
-        if (gather(data, starts, ends) != gather(data, self.word_start[inverse], self.word_end[inverse])).any():
-            raise ValueError("two benchmark words share a 64-bit hash; use smaller blocks")
+        for self.exact in (False, True):  # two benchmark words that share their quick hash call for the slow one
+            self.hashes, one, inverse = np.unique(self.hash(data, starts, ends), return_index=True, return_inverse=True)
+            inverse = inverse.reshape(-1)
+            self.word_start, self.word_end = starts[one], ends[one]
+            if not ((ends - starts) != (self.word_end - self.word_start)[inverse]).any() and not (gather(data, starts, ends) != gather(data, self.word_start[inverse], self.word_end[inverse])).any():
+                break
         self.ids = ids
         counts = np.diff(first)
         self.longest = int(counts.max(initial=0))
@@ -67,11 +74,14 @@ class TestSuffixes:
         need = np.minimum(window, counts)[item]
         rest = counts[item] - place
         own = rest >= need
-        self.tokens = np.concatenate((inverse.reshape(-1).astype(np.int64) + 1, np.zeros(1, np.int64)))
+        self.tokens = np.concatenate((inverse.astype(np.int64) + 1, np.zeros(1, np.int64)))
         self.start = np.flatnonzero(own)
         self.item, self.place, self.need, self.rest = item[own], place[own], need[own], rest[own]
         self.shortest = int(self.need.min(initial=window))
 
+    def hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (slow_hashes if self.exact else word_hashes)(data, starts, ends)
+
 
 def _suffix_array(tokens: np.ndarray, positions: np.ndarray, depth: int) -> np.ndarray:
     """``positions`` ordered by the words that follow, up to ``depth`` words or the first 0."""
@@ -158,7 +168,7 @@ def _shard(test: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     items: list[list] = [[] for _ in range(n)]
     if not len(starts) or not len(test.start):
         return counts, runs, items
-    hashes = word_hashes(data, starts, ends)
+    hashes = test.hash(data, starts, ends)
     place = np.minimum(np.searchsorted(test.hashes, hashes), len(test.hashes) - 1)
     known = test.hashes[place] == hashes
     base = first[:-1] + np.arange(n)  # a 0 after each document keeps matches inside it
@@ -203,28 +213,89 @@ def _shard(test: TestSuffixes, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     return counts, runs, items
 
 
-def _scan(block, text: int, carry: list[int], shard_bytes: int, hits_only: bool):
+def _merged(found: list[tuple[list, list]]) -> tuple[list, list]:
+    """Runs and items of one document over all blocks: maximal runs, and of each item the longest match."""
+    every = [r for runs, _ in found for r in runs]
+    left, right = merge_runs(np.array([r["start"] for r in every], np.int64), np.array([r["end"] for r in every], np.int64))
+    best: dict[str, dict] = {}
+    for item in sorted((i for _, items in found for i in items), key=lambda i: (-i["n_words"], i["doc_word"], i["item_word"])):
+        best.setdefault(item["item_id"], item)
+    return [{"start": a, "end": b} for a, b in zip(left.tolist(), right.tolist(), strict=True)], [best[k] for k in sorted(best)]
+
+
+def _scan(uris: list[str], shard_bytes: int, held_bytes: int):
+    """Last column is the text; the others are carried. Batches are held up to ``held_bytes`` only if there are several blocks."""
+
+    def judged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [utf8(batch.column(batch.num_columns - 1)) for batch in held]
+        counts = [np.zeros(batch.num_rows, np.int64) for batch in held]
+        found: list[dict[int, list]] = [{} for _ in held]
+        for uri in uris:
+            test = _block(uri, len(uris) == 1)
+            for (data, offsets), n_words, hits in zip(texts, counts, found, strict=True):
+                for i, j in blocks(offsets, shard_bytes):
+                    n_words[i:j], runs, items = _shard(test, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    for d in [d for d, r in enumerate(runs) if r]:
+                        hits.setdefault(i + d, []).append((runs[d], items[d]))
+        for batch, n_words, hits in zip(held, counts, found, strict=True):
+            whole = [_merged(hits[d]) if d in hits else ([], []) for d in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(n_words), pa.array([w[0] for w in whole], pa.list_(RUN)), pa.array([w[1] for w in whole], pa.list_(ITEM))],
+                [*batch.schema.names[:-1], *RESULT[:3]],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = block.value
+        held, size = [], 0
         for batch in batches:
-            data, offsets = utf8(batch.column(text))
-            for i, j in blocks(offsets, shard_bytes):
-                counts, runs, items = _shard(test, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                rows = np.flatnonzero([bool(x) for x in runs]) if hits_only else np.arange(j - i)
-                part = batch.slice(i, j - i).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(k) for k in carry]
-                    + [
-                        pa.array(counts[rows], pa.int64()),
-                        pa.array([runs[r] for r in rows], pa.list_(RUN)),
-                        pa.array([items[r] for r in rows], pa.list_(ITEM)),
-                    ],
-                    [part.schema.names[k] for k in carry] + RESULT[:3],
-                )
+            held.append(batch)
+            size += batch.nbytes
+            if len(uris) == 1 or size >= held_bytes:
+                yield from judged(held)
+                held, size = [], 0
+        yield from judged(held)
 
     return run
 
 
+_kept: dict[str, TestSuffixes] = {}
+
+
+def _block(uri: str, keep: bool) -> TestSuffixes:
+    """A block from the shared folder; a worker keeps the only one of a benchmark."""
+    if uri in _kept:
+        return _kept[uri]
+    test = pickle.loads(files.read(uri))
+    if keep:
+        _kept.clear()
+        _kept[uri] = test
+    return test
+
+
+def _build(folder: str, window: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(set(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True)), key=lambda r: (r[0], r[1] or ""))
+        uri = f"{folder}/{files.attempt_name('block', '.pickle')}"
+        files.write(uri, pickle.dumps(TestSuffixes([r[0] for r in rows], [r[1] for r in rows], window), pickle.HIGHEST_PROTOCOL))
+        return pa.table({"uri": [uri]})
+
+    return run
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[str]:
+    """The files of the blocks, one name for every ``block_bytes`` of benchmark text; one at least."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-total // block_bytes))
+    folder = files.folder(benchmark.sparkSession, "benchmark")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+    found = materialize(dealt.groupBy("block").applyInArrow(_build(folder, window), "uri string"), "blocks")
+    uris = sorted(r.uri for r in found.collect())
+    if not uris:
+        uris = [f"{folder}/none"]
+        files.write(uris[0], pickle.dumps(TestSuffixes([], [], window)))
+    return uris
+
+
 def find_matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -233,57 +304,21 @@ def find_matches(
     carry: list[str] | None = None,
     block_bytes: int = 8 << 20,
     shard_bytes: int = 4 << 20,
+    held_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``docs`` (its ``carry`` columns, default all) with ``n_words, runs, items, n_hit, contaminated``."""
-    spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
+    docs = without(docs, RESULT)
     carry = list(docs.columns) if carry is None else carry
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // block_bytes))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + f", {HITS}"
-    found: DataFrame | None = None
-    for k in range(n_blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
-        rows = sorted({(r.item_id, r.text) for r in mine.collect()}, key=lambda r: (r[0], r[1] or ""))
-        block = spark.sparkContext.broadcast(TestSuffixes([r[0] for r in rows], [r[1] for r in rows], window))
-        if n_blocks == 1:
-            slim = docs.select(*carry) if "text" in carry else docs.select(*carry, "text")
-            return _finish(slim.mapInArrow(_scan(block, slim.columns.index("text"), list(range(len(carry))), shard_bytes, False), schema), ratio)
-        keyed = docs.select(F.xxhash64("doc_id", "text").alias("_row"), "doc_id", "text")
-        part = keyed.mapInArrow(_scan(block, 2, [0, 1], shard_bytes, True), f"_row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {HITS}")
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("_row", "doc_id").agg(
-        F.array_sort(F.flatten(F.collect_set("runs"))).alias("_runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items")
-    )
-    none = spark.sparkContext.broadcast(TestSuffixes([], [], window))
-    slim = docs if "text" in carry else docs.select(*carry, "text")
-    slim = slim.withColumn("_row", F.xxhash64("doc_id", "text"))
-    counted = slim.mapInArrow(
-        _scan(none, slim.columns.index("text"), [slim.columns.index(c) for c in [*carry, "_row"]], shard_bytes, False),
-        ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in [*carry, "_row"]) + f", {HITS}",
-    ).drop("runs", "items")
-    joined = counted.join(merged.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "_r"), (F.col("_row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    union = F.aggregate(
-        F.coalesce("_runs", F.array().cast("array<struct<start:long,end:long>>")),
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda done, r: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= r["start"]),
-            F.concat(
-                F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], r["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(done, F.array(r))),
-    )
-    out = joined.withColumn("runs", union).withColumn("items", F.coalesce("_items", F.array().cast("array<struct<item_id:string,n_words:long,doc_word:long,item_word:long>>")))
-    return _finish(out.select(*carry, "n_words", "runs", "items"), ratio)
-
-
-def _finish(found: DataFrame, ratio: int) -> DataFrame:
+    carried, fields = numbered(docs, carry)
+    uris = benchmark_blocks(benchmark, window, block_bytes)
+    kinds = T.StructType.fromDDL(HITS).fields
+    found = docs.select(*carried, F.col("text").cast("string").alias("_text")).mapInArrow(_scan(uris, shard_bytes, held_bytes), T.StructType([*fields, *kinds]))
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
-    return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words")))
+    found = found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words")))
+    return found.toDF(*carry, *RESULT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, ratio: int = 20) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return find_matches(docs, benchmark, window, ratio).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents that are not contaminated, with all their own columns."""
+    docs, back = set_aside(docs, RESULT)
+    return find_matches(docs, benchmark, window, ratio).where(~F.col("contaminated")).select(*back)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
@@ -41,6 +42,12 @@ def write(uri: str, data: bytes) -> None:
         out.write(data)
 
 
+def opened(uri: str) -> pa.NativeFile:
+    """The file as a stream to read in pieces."""
+    system, path = file_system(uri)
+    return system.open_input_stream(path, compression=None)
+
+
 def read(uri: str, offset: int = 0, length: int | None = None) -> bytes:
     system, path = file_system(uri)
     with system.open_input_file(path) as f:

@@ -16,8 +16,10 @@ Semantics
 
 Edge cases: null text has size 0; null sources form a source of their own,
 last in order; sources of total size 0 get target 0; an empty table gives an
-empty result; repeated rows each count; extra columns stay, except that names
-of result columns are replaced.
+empty result; repeated rows each count; sources of equal capacity / weight stand in order of their names, which does
+not change the level; a very long text is counted in place; extra columns of any name stay, except that names
+of result columns are replaced. The table of sources is ordered in one task and broadcast: it is meant for
+sources that number up to some 100,000.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from confluo.llm.names import fresh, without
+
 WORD = r"[^\x20\x09-\x0D]+"
 RESULT = ["size", "source_size", "target", "whole", "extra", "taken"]
 
@@ -46,9 +50,8 @@ def water_fill(sizes: DataFrame, max_epochs: int = 3, share: float = 1.0) -> Dat
     bounded by the number of sources, not by the documents.
     """
     every = Window.partitionBy()
-    ranked = Window.orderBy(F.col("capacity") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    line = Window.orderBy(F.col("capacity") / F.col("weight"), F.col("source").asc_nulls_last())
+    ranked = line.rowsBetween(Window.unboundedPreceding, -1)
     level = (
         sizes.withColumn("capacity", F.col("source_size") * max_epochs)
         .withColumn("budget", F.sum("source_size").over(every) * F.lit(share))
@@ -56,10 +59,11 @@ def water_fill(sizes: DataFrame, max_epochs: int = 3, share: float = 1.0) -> Dat
         .withColumn("spent", F.coalesce(F.sum("capacity").over(ranked), F.lit(0)))
         .withColumn("gone", F.coalesce(F.sum("weight").over(ranked), F.lit(0)))
         .withColumn("level", (F.col("budget") - F.col("spent")) / (F.col("weights") - F.col("gone")))
+        .withColumn("place", F.row_number().over(line))
         .withColumn("open", F.col("capacity") > F.col("level") * F.col("weight"))
     )
     # the first source in order that is not capped fixes the level for all behind it
-    final = F.min(F.when(F.col("open"), F.struct((F.col("capacity") / F.col("weight")).alias("r"), F.col("level")))).over(every)
+    final = F.min(F.when(F.col("open"), F.struct("place", "level"))).over(every)
     return level.withColumn("final", final["level"]).select(
         "source",
         "source_size",
@@ -82,28 +86,29 @@ def mix_sources(
     ``weights`` repeat over the sources in code point order (null last);
     ``weight_of`` ``(source, weight)`` overrides them by name.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
+    docs = without(docs, RESULT)
+    own, speed = fresh([*docs.columns, *RESULT], "source_of", "rate")
     sized = docs.withColumn("size", word_count())
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     dealt = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
     totals = totals.withColumn("weight", dealt.cast("long"))
     if weight_of is not None:
-        own = weight_of.select(F.col("source").alias("_s"), F.col("weight").alias("_w"))
-        totals = totals.join(own, F.col("source").eqNullSafe(F.col("_s")), "left").select(
+        given = weight_of.select(F.col("source").alias("_s"), F.col("weight").alias("_w"))
+        totals = totals.join(given, F.col("source").eqNullSafe(F.col("_s")), "left").select(
             "source", "source_size", F.coalesce("_w", "weight").alias("weight")
         )
-    targets = water_fill(totals, max_epochs, share).select(F.col("source").alias("_source"), "source_size", "target")
+    targets = water_fill(totals, max_epochs, share).select(F.col("source").alias(own), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        .drop("_source")
-        .withColumn("_rate", rate)
-        .withColumn("whole", F.floor("_rate").cast("long"))
+        sized.join(targets, F.col("source").eqNullSafe(F.col(own)))
+        .drop(own)
+        .withColumn(speed, rate)
+        .withColumn("whole", F.floor(speed).cast("long"))
         .withColumn(
             "extra",
-            F.floor((F.col("_rate") - F.col("whole")) * F.col("size") + _uniform(seed, F.col("doc_id"))).cast("long"),
+            F.floor((F.col(speed) - F.col("whole")) * F.col("size") + _uniform(seed, F.col("doc_id"))).cast("long"),
         )
         .withColumn("taken", F.least(F.col("whole") * F.col("size") + F.col("extra"), F.col("size") * max_epochs))
-        .drop("_rate")
+        .drop(speed)
     )

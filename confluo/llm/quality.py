@@ -8,16 +8,19 @@ Semantics
 * Features are the distinct lower-cased words of the whole text, the share of each kind of
   punctuation and of capitals on a logarithmic scale, hashed into
   ``2 ** bits`` places; a feature is present or absent.
-* Per row: ``expected_grade`` and ``tail`` (probability of grade >= ``tail_from``);
-  a selection keeps rows with ``tail`` of at least one half.
+* Per row: ``expected_grade``, ``tail`` (probability of grade >= ``tail_from``) and ``above``
+  (probability of more than each grade but the last), for selection at any of them.
 
 Bounds: the model is fitted on at most ``max_rows`` rated rows, those with the smallest
-hash of doc_id, and its weights are ``2 ** bits`` numbers of 4 bytes; scoring covers every row.
+hash of doc_id. Which features count is decided from their numbers per grade (``2 ** bits`` rows a grade), summed
+in the cluster; the driver gets only those features of the rated rows. The weights are ``2 ** bits`` numbers of 4 bytes;
+scoring covers every row.
 
 Edge cases: null and empty text have no words and get what the thresholds alone
 say; rows without grade are not learned from; several ratings of one document each
 count; without ratings every grade is equally likely; repeated rows agree; an
-empty table gives an empty result; extra columns stay, names of result columns are replaced.
+empty table gives an empty result; of several ratings with one hash the smaller doc_id counts first; a very long
+text is scored whole in one task, with some 40 bytes a byte of text; extra columns of any name stay, names of result columns are replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from confluo.llm.bytesops import ALNUM, ASCII_LOWER, U64, blocks, mix, utf8, word_hashes, word_spans
 from confluo.llm.langid import by_hash
+from confluo.llm.names import numbered, without
+from confluo.plans.shared import materialize
 
-RESULT = ["expected_grade", "tail"]
+RESULT = ["expected_grade", "tail", "above"]
 MARKS = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n0123456789", np.uint8)
 
 
@@ -68,13 +74,13 @@ class Ordinal:
         """P(grade > k) per row and threshold."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - s[:, None], -50, 50)))
 
-    def score(self, data: np.ndarray, offsets: np.ndarray, tail_from: int) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, data: np.ndarray, offsets: np.ndarray, tail_from: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         places, n = hashed_features(data, offsets, self.bits)
         s = np.bincount(np.repeat(np.arange(len(n)), n), self.weights[places], len(n))
         over = self.above(s)
         steps = np.diff(np.array(self.grades, float))
         tail = over[:, self.grades.index(tail_from) - 1] if self.grades.index(tail_from) else np.ones(len(n))
-        return self.grades[0] + over @ steps, tail
+        return self.grades[0] + over @ steps, tail, over
 
 
 def _loss(v: np.ndarray, y: np.ndarray, rows: np.ndarray, local: np.ndarray, n_used: int, prior: float) -> tuple[float, np.ndarray]:
@@ -125,12 +131,22 @@ def _minimise(f, v: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
     return v
 
 
-def fit(grade: np.ndarray, places: np.ndarray, n: np.ndarray, bits: int, rounds: int = 80, prior: float = 10.0, rare: int = 5, screen: float = 4.0) -> Ordinal:
-    """Maximum a posteriori weights under a normal prior.
+def screened(counts: np.ndarray, n_rows: np.ndarray, rare: int = 5, screen: float = 4.0) -> np.ndarray:
+    """Which features count, from rows per grade and feature and rows per grade.
 
-    Features stay at 0 when fewer than ``rare`` rated rows have them, or when at no
-    threshold the rows that have them differ from all rows by ``screen`` standard errors.
+    Not those that fewer than ``rare`` rows have, nor those whose rows at no threshold differ from all
+    rows by ``screen`` standard errors.
     """
+    count, strong = counts.sum(axis=0), np.zeros(counts.shape[1], bool)
+    for k in range(len(n_rows) - 1):
+        p = n_rows[k + 1 :].sum() / n_rows.sum()
+        over = counts[k + 1 :].sum(axis=0)
+        strong |= np.abs(over - count * p) >= screen * np.sqrt(np.maximum(count, 1) * p * (1 - p))
+    return strong & (count >= rare)
+
+
+def fit(grade: np.ndarray, places: np.ndarray, n: np.ndarray, bits: int, rounds: int = 80, prior: float = 10.0) -> Ordinal:
+    """Maximum a posteriori weights of the given features (``n`` per row) under a normal prior; other weights are 0."""
     grades = sorted(set(grade.tolist()))
     if len(grades) < 2:
         grades = grades or [0]
@@ -140,15 +156,8 @@ def fit(grade: np.ndarray, places: np.ndarray, n: np.ndarray, bits: int, rounds:
     share = np.cumsum(np.bincount(y))[:-1] / len(y)
     start = np.log(share / (1 - share))
     rows = np.repeat(np.arange(len(y)), n)
-    count = np.bincount(places, minlength=1 << bits)
-    strong = np.zeros(1 << bits, bool)
-    for k in range(len(grades) - 1):
-        p = float(np.mean(y > k))
-        over = np.bincount(places, (y > k)[rows], 1 << bits)
-        strong |= np.abs(over - count * p) >= screen * np.sqrt(np.maximum(count, 1) * p * (1 - p))
-    often = (strong & (count >= rare))[places]
-    used, local = np.unique(places[often], return_inverse=True)
-    local, rows = local.reshape(-1), rows[often]
+    used, local = np.unique(places, return_inverse=True)
+    local = local.reshape(-1)
     # thresholds are a first one and positive gaps, so their order holds throughout
     v = np.concatenate((np.zeros(len(used)), [start[0]], np.log(np.maximum(np.diff(start), 1e-3))))
     v = _minimise(lambda x: _loss(x, y, rows, local, len(used), prior), v, rounds)
@@ -176,34 +185,65 @@ def train(docs: DataFrame, ratings: DataFrame, bits: int = 18, max_rows: int = 2
     rated = by_hash(rated, "_id", max_rows)
     # at most max_rows ids and grades: their bound allows a broadcast, so no text is shuffled
     rows = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("_id")).select("grade", "text")
-    seen = rows.mapInArrow(_hash(bits), "grade long, places binary").toArrow()
-    parts = seen.column("places").to_pylist() if seen.num_rows else []
-    grade = seen.column("grade").to_numpy() if seen.num_rows else np.zeros(0, np.int64)
+    seen = materialize(rows.mapInArrow(_hash(bits), "grade long, places binary"), "rated")
+    n_rows = {r.grade: r.n for r in seen.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    grades = sorted(n_rows)
+    counts = np.zeros((max(1, len(grades)), 1 << bits))
+    table = seen.mapInArrow(_tally(bits), "grade long, place int, n long").groupBy("grade", "place").agg(F.sum("n").alias("n")).toArrow()
+    counts[np.searchsorted(grades, table.column("grade").to_numpy()), table.column("place").to_numpy()] = table.column("n").to_numpy()
+    strong = seen.sparkSession.sparkContext.broadcast(screened(counts, np.array([n_rows[g] for g in grades])))
+    few = seen.mapInArrow(_strong(strong), "grade long, places binary").toArrow()
+    parts, grade = few.column("places").to_pylist(), few.column("grade").to_numpy()
     # one order, whatever order the rows came in
     order = sorted(range(len(parts)), key=lambda k: (grade[k], parts[k]))
     places = np.frombuffer(b"".join(parts[k] for k in order), "<u4").astype(np.int32)
     return fit(grade[order], places, np.array([len(parts[k]) // 4 for k in order], np.int64), bits)
 
 
+def _tally(bits: int):
+    """Per task the rows of each grade that have each feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for grade, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts.setdefault(grade, np.zeros(1 << bits, np.int64))[np.frombuffer(places.as_buffer(), "<u4")] += 1
+        for grade, own in counts.items():
+            some = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), grade)), pa.array(some.astype(np.int32)), pa.array(own[some])], ["grade", "place", "n"])
+
+    return run
+
+
+def _strong(mask):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [np.frombuffer(p.as_buffer(), "<u4") for p in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[mask.value[p]].tobytes() for p in every], pa.binary())], ["grade", "places"])
+
+    return run
+
+
 def _score(model, carry: int, tail_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             data, offsets = utf8(batch.column(carry))
             for i, j in blocks(offsets, 1 << 20):
-                grade, tail = m.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tail_from)
+                grade, tail, over = m.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], tail_from)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:carry], pa.array(grade), pa.array(tail)], [*part.schema.names[:carry], *RESULT])
+                yield pa.RecordBatch.from_arrays([*part.columns[:carry], pa.array(grade), pa.array(tail), pa.array(list(over), pa.list_(pa.float64()))], [*part.schema.names[:carry], *RESULT])
 
     return run
 
 
 def score(docs: DataFrame, model: Ordinal, tail_from: int = 1, carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns (default all) with ``expected_grade`` and ``tail``."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
+    docs = without(docs, RESULT)
     carry = list(docs.columns) if carry is None else carry
+    carried, fields = numbered(docs, carry)
     tail_from = tail_from if tail_from in model.grades else model.grades[-1]
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(*carry, F.col("text").alias("_scored"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return slim.mapInArrow(_score(shipped, len(carry), tail_from), f"{schema}, expected_grade double, tail double")
+    kinds = T.StructType.fromDDL("expected_grade double, tail double, above array<double>").fields
+    scored = docs.select(*carried, F.col("text").cast("string").alias("_scored")).mapInArrow(_score(shipped, len(carry), tail_from), T.StructType([*fields, *kinds]))
+    return scored.toDF(*carry, *RESULT)

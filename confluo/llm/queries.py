@@ -136,13 +136,14 @@ WITH sized AS (
   FROM sized GROUP BY source
 ), capped AS (
   SELECT *, source_size * 3 AS capacity, sum(source_size) OVER ()::DOUBLE AS budget, sum(weight) OVER () AS weights,
-    coalesce(sum(source_size * 3) OVER w, 0) AS spent, coalesce(sum(weight) OVER w, 0) AS gone
+    coalesce(sum(source_size * 3) OVER w, 0) AS spent, coalesce(sum(weight) OVER w, 0) AS gone,
+    row_number() OVER (ORDER BY source_size * 3 / weight, source NULLS LAST) AS place
   FROM totals
   WINDOW w AS (ORDER BY source_size * 3 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), leveled AS (
   SELECT *, (budget - spent::DOUBLE) / (weights - gone)::DOUBLE AS level FROM capped
 ), final AS (
-  SELECT arg_min(level, capacity / weight) AS level FROM leveled WHERE capacity > level * weight
+  SELECT arg_min(level, place) AS level FROM leveled WHERE capacity > level * weight
 ), targets AS (
   SELECT source, source_size, coalesce(least(capacity::DOUBLE, f.level * weight), capacity::DOUBLE) AS target
   FROM leveled, final f
@@ -199,12 +200,16 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 toxic, 1 not toxic and of low quality, 2 not toxic and of high quality; toxic ones are not kept."""
+    """Grades: 0 toxic, 1 not toxic and of low quality, 2 not toxic and of high quality.
+
+    ``kept`` leaves out what is probably toxic, ``selected`` takes what is probably of high quality.
+    """
     docs = _table(spark, sf_dir, "documents")
     grade = F.when(F.col("toxic") == 1, 0).otherwise(1 + F.col("quality"))
     model = quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade")))
     out = quality.score(docs, model, tail_from=1, carry=["doc_id"])
-    return out.withColumn("kept", F.col("tail") >= 0.5)
+    high = F.coalesce(F.get("above", F.lit(1)), F.lit(0.0))
+    return out.select("doc_id", "expected_grade", "tail", (F.col("tail") >= 0.5).alias("kept"), high.alias("high"), (high >= 0.5).alias("selected"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

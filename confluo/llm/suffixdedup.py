@@ -8,10 +8,11 @@ Semantics
   count, and all is judged on the input.
 * Per row: ``n_bytes``, ``spans`` (maximal removed runs, as start and end
   bytes) and ``kept`` (the remaining bytes; a cut may fall inside a character).
-* Rows that agree in doc_id never remove from each other. Rows without doc_id
+* doc_id must be an integer column (else ValueError). Rows that agree in doc_id, the only ties, never remove from each other. Rows without doc_id
   stay whole and count as nobody's predecessor. Empty and short texts stay
-  whole, empty tables give empty results, extra columns can be carried, and names of
-  result columns are replaced.
+  whole, empty tables give empty results, extra columns of any name can be carried, and names of
+  result columns are replaced. A very long text makes its block longer than ``block_bytes``; one task
+  holds it whole, with about 40 bytes a byte of text.
 
 Method
 ------
@@ -47,7 +48,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from confluo.llm.bytesops import BASE, U64, gather, merge_runs, mix, utf8, word_hashes
+from confluo.llm.bytesops import BASE, U64, gather, merge_runs, mix, slow_hashes, utf8, word_hashes
+from confluo.llm.names import integer_id, numbered, without
 
 RESULT = ["n_bytes", "spans", "kept"]
 CHUNK = 1 << 17
@@ -95,15 +97,17 @@ class Block:
 
     def same(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Runs ordered by their bytes' hash, and the group of each in that order."""
-        key = word_hashes(self.data, self.start[runs], self.end[runs])
-        order = np.lexsort((runs, key, self.digit[runs]))
-        runs, key, digit = runs[order], key[order], self.digit[runs][order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (digit[1:] != digit[:-1]))) if len(runs) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        lead = runs[new][group] if len(runs) else runs
-        if (self.length[runs] != self.length[lead]).any() or (gather(self.data, self.start[runs], self.end[runs]) != gather(self.data, self.start[lead], self.end[lead])).any():
-            raise ValueError("two strings share two 64-bit hashes; use another block size")
-        return runs, group
+        every = runs
+        for hashes in (word_hashes, slow_hashes):  # the second where different strings share the first
+            key = hashes(self.data, self.start[every], self.end[every])
+            order = np.lexsort((every, key, self.digit[every]))
+            runs, key, digit = every[order], key[order], self.digit[every][order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (digit[1:] != digit[:-1]))) if len(runs) else np.zeros(0, bool)
+            group = np.cumsum(new) - 1
+            lead = runs[new][group] if len(runs) else runs
+            if not (self.length[runs] != self.length[lead]).any() and not (gather(self.data, self.start[runs], self.end[runs]) != gather(self.data, self.start[lead], self.end[lead])).any():
+                return runs, group
+        raise ValueError("different strings share 128 bits of two hashes")
 
 
 def _least(data: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -365,18 +369,20 @@ def _cut(width: int, gram: int, schema: pa.Schema):
 
 def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 16, carry: list[str] | None = None, block_bytes: int = 2 << 20) -> DataFrame:
     """The ``carry`` columns of ``docs`` (default all but text) with ``n_bytes, spans, kept``."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in RESULT])
+    integer_id(docs, "doc_id")
+    docs = without(docs, RESULT)
     carry = [c for c in docs.columns if c != "text"] if carry is None else carry
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks, buckets = max(1, -(-total // block_bytes)), max(1, -(-total // (2 * block_bytes)))
+    carried, fields = numbered(docs, carry)
     texts = docs.select(
-        *carry,
+        *carried,
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("long").alias("block"),
         F.col("doc_id").cast("long").alias("_id"),
         F.col("text").cast("binary").alias("_text"),
     )
     ends = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    final = T.StructType(docs.select(*carry).schema.fields + [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(ends)), T.StructField("kept", T.BinaryType())])
+    final = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(ends)), T.StructField("kept", T.BinaryType())])
     reports = texts.groupBy("block").applyInArrow(_report(width, gram, buckets), "bucket long, block long, one binary, many binary")
     answers = reports.groupBy("bucket").applyInArrow(_answer, "block long, digits binary")
     sent = (
@@ -385,4 +391,4 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 16, carry: list
         .applyInArrow(_send(width, gram, buckets), "bucket long, block long, run binary, length binary, low binary, high binary, data binary")
     )
     found = sent.groupBy("bucket").applyInArrow(_sort(width), "block long, run binary, first binary, count binary, low binary")
-    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(width, gram, to_arrow_schema(final)), final)
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(width, gram, to_arrow_schema(final)), final).toDF(*carry, *RESULT)

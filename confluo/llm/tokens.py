@@ -14,8 +14,10 @@ Semantics
   and the tokens that earlier blocks left open.
 * A tail without separator is a document with ``closed`` = false.
 
-Edge cases: empty texts count 0; a null doc_id stays null; repeated rows count each; an empty
-table gives no file and an empty result; extra columns are not stored. A
+Edge cases: empty texts count 0; a null doc_id stays null, a doc_id that is no integer column is refused with
+ValueError; repeated rows count each and ties do not arise; an empty
+table gives no file and an empty result; extra columns are not stored, whatever their names; a very long
+text is encoded whole by one task. A
 single file of any size is scanned by many tasks; no window holds more than
 ``fan`` blocks or the groups of one file.
 """
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.llm import files
+from confluo.llm.names import integer_id
 from confluo.plans.shared import materialize
 
 _encoders: dict[int, object] = {}
@@ -73,6 +76,7 @@ def _write(folder: str, ranks, pattern: str, eod: int, roll: int):
 
 def write_tokens(docs: DataFrame, vocabulary: str, pattern: str, eod: int = 50256, roll_bytes: int = 32 << 20) -> DataFrame:
     """Write token files; returns the manifest ``(file, ordinal, doc_id)``."""
+    integer_id(docs, "doc_id")
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary file, about 1 MB

@@ -11,12 +11,14 @@ Semantics
 * Reading groups segments by origin, orders them by number, checks that none is
   missing or double and that the lengths add up to the stated total, then decodes the
   chunk framing. What does not add up gives ``error`` and no payload instead
-  of failing the job.
+  of failing the job; so does an archive that is cut short or damaged: its error row has no more
+  than the headers that could be read, and reading goes on at the next gzip member.
 
-Edge cases: null url is left out of the header; a null page_id is never the largest, so
+Edge cases: a page_id that is no integer column is refused with ValueError; a very long page is one
+record in segments, held whole when it is written and when it is put together; null url is left out of the header; a null page_id is never the largest, so
 it revisits an equal payload with an id, and is a response when there is none; rows that agree in the largest page_id are
 all responses; an empty table gives no archives and an empty result; extra
-columns of the input are not stored.
+columns of the input are not stored, whatever their names.
 
 Archives are gzip members per record, in files of about ``roll_bytes``, below the shared folder.
 """
@@ -25,24 +27,30 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confluo.llm import files
+from confluo.llm.names import integer_id
 from confluo.plans.shared import materialize
 
 VERSION = b"WARC/1.1"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, page_id long, url string, type string, digest string, origin string, number int, total long, block binary"
+RECORD = "record_id string, page_id long, url string, type string, digest string, origin string, number int, total long, block binary, refers_to long, error string"
 RECORD_ARROW = pa.schema(
-    [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("digest", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
+    [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("digest", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("refers_to", pa.int64()), ("error", pa.string())]
 )
+PIECE = 1 << 16
+GZIP = b"\x1f\x8b\x08"
 
 
 def chunked(payload: bytes, chunk: int = 4096) -> bytes:
@@ -83,10 +91,10 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return packed.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n") + packed.flush()
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, first: int | None, segment: int) -> Iterator[bytes]:
-    """The records of one row; ``first`` is the page that a revisit refers to."""
+def records_of(page_id: int | None, url: str | None, payload: bytes, first: int | None, segment: int, sha1: bytes | None = None) -> Iterator[bytes]:
+    """The records of one row; ``first`` is the page that a revisit refers to, ``sha1`` the digest of the payload."""
     name = f"<urn:uuid:{uuid.uuid4()}>"
-    digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    digest = "sha1:" + base64.b32encode(sha1 or hashlib.sha1(payload).digest()).decode()
     url = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
     common = [("WARC-Target-URI", url), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Payload-Digest", digest), ("X-Page-Id", page_id)]
     if first is not None:
@@ -113,8 +121,8 @@ def _write(folder: str, segment: int, roll: int):
                 done.append(uri)
 
         for batch in batches:
-            for page, url, payload, first in zip(*(batch.column(k) for k in range(4)), strict=True):
-                for data in records_of(page.as_py(), url.as_py(), payload.as_py() or b"", first.as_py(), segment):
+            for page, url, payload, first, sha1 in zip(*(batch.column(k) for k in range(5)), strict=True):
+                for data in records_of(page.as_py(), url.as_py(), payload.as_py() or b"", first.as_py(), segment, bytes.fromhex(sha1.as_py())):
                     held.append(data)
                     size += len(data)
                 if size >= roll:
@@ -128,6 +136,7 @@ def _write(folder: str, segment: int, roll: int):
 
 def write_archives(pages: DataFrame, revisit_bytes: int = 1000, segment_bytes: int = 16384, roll_bytes: int = 16 << 20) -> DataFrame:
     """Write ``(page_id, url, html)`` as archives; returns the archives' names, one row each."""
+    integer_id(pages, "page_id")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     first = (
@@ -137,75 +146,121 @@ def write_archives(pages: DataFrame, revisit_bytes: int = 1000, segment_bytes: i
         .agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1 and first is not null")
     )
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    # a revisit carries no payload to the writer
     marked = rows.join(first, rows.digest == F.col("_digest"), "left").select(
-        "page_id", "url", F.when(F.col("page_id").eqNullSafe(F.col("first")) | F.col("first").isNull(), F.col("payload")).otherwise(F.col("payload")).alias("payload"), F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first")
+        "page_id", "url", F.when(~again, F.col("payload")).alias("payload"), F.when(again, F.col("first")).alias("first"), "digest"
     )
     folder = files.folder(pages.sparkSession, "warc")
     return materialize(marked.mapInArrow(_write(folder, segment_bytes, roll_bytes), "archive string"), "archives")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-cased names) and block of every record of a gzip-member or plain archive."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            text = member.decompress(data[at:] if at == 0 and len(data) < 1 << 16 else data[at : at + (1 << 16)])
-            upto = min(len(data), at + (1 << 16)) if not (at == 0 and len(data) < 1 << 16) else len(data)
-            parts = [text]
-            while not member.eof and upto < len(data):
-                parts.append(member.decompress(data[upto : upto + (1 << 16)]))
-                upto = min(len(data), upto + (1 << 16))
-            if not member.eof:
-                raise ValueError("archive is cut short")
-            at = upto - len(member.unused_data)
-            yield from _plain(b"".join(parts))
-        else:
-            yield from _plain(data[at:])
-            return
+    """Headers (lower-cased names) and block of every record; ValueError at the first damage."""
+    for headers, block, error in scan(io.BytesIO(data)):
+        if error is not None:
+            raise ValueError(error)
+        yield headers, block
+
 
+def scan(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers, block, error) of every record of an archive of gzip members or of a plain one.
 
-def _plain(text: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(text):
-        end = text.index(b"\r\n\r\n", at)
-        lines = text[at:end].decode("utf-8", "replace").split("\r\n")
+    Holds one record and one piece of the stream. Damage gives an entry with ``error`` and the
+    scan goes on at the next gzip member that it can make out.
+    """
+    data = stream.read(PIECE)
+    while data:
+        if data[:2] != GZIP[:2]:
+            yield from _plain(data, stream)
+            return
+        member, parts, skip = zlib.decompressobj(31), [], 2
+        try:
+            parts.append(member.decompress(data))
+            while not member.eof:
+                more = stream.read(PIECE)
+                if not more:
+                    raise ValueError("archive is cut short")
+                data, skip = more, 0
+                parts.append(member.decompress(data))
+            data = member.unused_data or stream.read(PIECE)
+        except (zlib.error, ValueError) as e:
+            yield {}, b"", str(e)
+            at = data.find(GZIP, skip)
+            while at < 0 and data:
+                data = stream.read(PIECE)
+                at = data.find(GZIP)
+            data = data[at:] if data else data
+            continue
+        yield from _plain(b"".join(parts), io.BytesIO())
+
+
+def _plain(data: bytes, stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Records of ``data`` and what follows it in the stream; the first damage ends it."""
+    while True:
+        data = data.lstrip(b"\r\n")
+        end = data.find(b"\r\n\r\n")
+        while end < 0:
+            more = stream.read(PIECE)
+            if not more:
+                if data:
+                    yield {}, b"", "record header is cut short"
+                return
+            data += more
+            end = data.find(b"\r\n\r\n")
+        lines = data[:end].decode("utf-8", "replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(headers["content-length"])
-        yield headers, text[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        while text[at : at + 2] == b"\r\n":
-            at += 2
+        length = headers.get("content-length", "")
+        if not lines[0].startswith("WARC/") or not re.fullmatch("[0-9]+", length):
+            yield headers, b"", "record header without WARC version or content length"
+            return
+        size = int(length)
+        parts, have = [data[end + 4 : end + 4 + size]], len(data) - end - 4
+        rest = data[end + 4 + size :]
+        while have < size:
+            more = stream.read(PIECE)
+            if not more:
+                yield headers, b"", "record is cut short"
+                return
+            parts.append(more[: size - have])
+            rest, have = more[size - have :], have + len(more)
+        yield headers, b"".join(parts), None
+        data = rest
 
 
 def _digest(value: str | None) -> str | None:
-    """Bare lower-case hex of a ``sha1:BASE32`` digest."""
-    return base64.b32decode(value.partition(":")[2]).hex() if value else None
+    """Bare lower-case hex of a SHA-1 digest in base 32 or hex; digests of other kinds are not read."""
+    kind, _, text = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return text.lower() if re.fullmatch("[0-9a-fA-F]{40}", text) else base64.b32decode(text).hex()
+
+
+def _row(headers: dict[str, str], block: bytes, error: str | None, uri: str) -> dict:
+    row: dict = {c: headers.get(h) for c, h in (("record_id", "warc-record-id"), ("url", "warc-target-uri"), ("type", "warc-type"))}
+    row["origin"] = headers.get("warc-segment-origin-id") or row["record_id"]
+    try:
+        if error is not None:
+            raise ValueError(error)
+        for c, h in (("page_id", "x-page-id"), ("refers_to", "x-refers-to-page-id"), ("number", "warc-segment-number"), ("total", "warc-segment-total-length")):
+            row[c] = int(headers[h]) if h in headers else None
+        row |= {"digest": _digest(headers.get("warc-payload-digest")), "block": block}
+    except ValueError as e:  # what is damaged stands by itself, not among the segments of a record
+        row |= {"error": f"{uri}: {e}", "number": None}
+    return row
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for uri in batch.column(0).to_pylist():
             rows, size = [], 0
-            for headers, block in parse(files.read(uri)):
-                number, total = headers.get("warc-segment-number"), headers.get("warc-segment-total-length")
-                rows.append(
-                    {
-                        "record_id": headers.get("warc-record-id"),
-                        "page_id": int(headers["x-page-id"]) if "x-page-id" in headers else None,
-                        "url": headers.get("warc-target-uri"),
-                        "type": headers.get("warc-type"),
-                        "digest": _digest(headers.get("warc-payload-digest")),
-                        "origin": headers.get("warc-segment-origin-id") or headers.get("warc-record-id"),
-                        "number": int(number) if number else None,
-                        "total": int(total) if total else None,
-                        "block": block,
-                    }
-                )
-                size += len(block)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, RECORD_ARROW)
-                    rows, size = [], 0
+            with files.opened(uri) as stream:
+                for headers, block, error in scan(stream):
+                    rows.append(_row(headers, block, error, uri))
+                    size += len(block) + 1000
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, RECORD_ARROW)
+                        rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, RECORD_ARROW)
 
 
@@ -221,15 +276,16 @@ def assembled(segments: list[tuple[int, bytes]], total: int | None) -> bytes:
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Last two columns (segments, total) to (payload, error); a response has the digest of what was read back."""
+    """Last three columns (segments, total, error) to (payload, error); a response has the digest of what was read back."""
     for batch in batches:
         payloads, errors, digests = [], [], batch.column("digest").to_pylist()
-        for k, (kind, parts, total) in enumerate(zip(batch.column("type").to_pylist(), batch.column("segments"), batch.column("total").to_pylist(), strict=True)):
-            payload, error = None, None
-            if kind != "revisit":
+        for k, (kind, parts, total, error) in enumerate(zip(batch.column("type").to_pylist(), batch.column("segments"), batch.column("total").to_pylist(), batch.column("error").to_pylist(), strict=True)):
+            payload = None
+            if error is None and kind != "revisit":
                 try:
                     own = [(p["number"], p["block"]) for p in parts.as_py()]
-                    payload = payload_of(own[0][1] if len(own) == 1 and own[0][0] is None else assembled([(n or 1, b) for n, b in own], total))
+                    block = own[0][1] if len(own) == 1 and own[0][0] is None else assembled([(n or 1, b) for n, b in own], total)
+                    payload = payload_of(block) if kind in ("response", None) else block
                     stored, digests[k] = digests[k], hashlib.sha1(payload).hexdigest()
                     if stored is not None and stored != digests[k]:
                         error = f"payload has digest {digests[k]}, its header says {stored}"
@@ -239,11 +295,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             errors.append(error)
         at = batch.schema.get_field_index("digest")
         batch = batch.set_column(at, batch.schema.field(at), pa.array(digests, pa.string()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(payloads, pa.binary()), pa.array(errors, pa.string())], [*batch.schema.names[:-2], "payload", "error"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(payloads, pa.binary()), pa.array(errors, pa.string())], [*batch.schema.names[:-3], "payload", "error"])
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """``(record_id, page_id, url, type, digest, payload, error)`` of the archives named in column ``archive``.
+    """``(record_id, page_id, url, type, digest, refers_to, payload, error)`` of the archives named in column ``archive``.
 
     Only records in several segments are shuffled, by origin; a group is one record.
     """
@@ -251,8 +307,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
     spread = archives.select("archive").repartition(max(1, spark.sparkContext.defaultParallelism * 4))
     found = spread.mapInArrow(_read, RECORD)
     part = F.struct("number", "block")
-    names = ["record_id", "page_id", "url", "type", "digest"]
-    whole = found.where("number is null").select(*names, F.array(part).alias("segments"), "total")
+    names = ["record_id", "page_id", "url", "type", "digest", "refers_to"]
+    whole = found.where("number is null").select(*names, F.array(part).alias("segments"), "total", "error")
     pieces = found.where("number is not null")
     lead = F.col("type") != "continuation"
     joined = (
@@ -261,20 +317,26 @@ def read_archives(archives: DataFrame) -> DataFrame:
             *[F.max(F.when(lead, F.col(c))).alias(c) for c in names[1:]],
             F.collect_list(part).alias("segments"),
             F.max("total").alias("total"),
+            F.max("error").alias("error"),
         )
-        .select(F.col("origin").alias("record_id"), *names[1:], "segments", "total")
+        .select(F.col("origin").alias("record_id"), *names[1:], "segments", "total", "error")
     )
-    return whole.unionByName(joined).mapInArrow(_decode, "record_id string, page_id long, url string, type string, digest string, payload binary, error string")
+    return whole.unionByName(joined).mapInArrow(_decode, "record_id string, page_id long, url string, type string, digest string, refers_to long, payload binary, error string")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Records with ``payload_bytes`` and ``refers_to``: revisits take them from the response with their digest."""
+    """Records with ``payload_bytes``: revisits have that of the response that they name.
+
+    ``refers_to`` is what the archive's revisit record says; it is an ``error`` when the largest
+    page_id among the responses with its digest is another or there is none.
+    """
     # the archives are parsed once; what is written holds no payload
     records = materialize(records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"), "records")
-    wanted = records.where("type = 'revisit'")
-    rest = records.where("type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
-    first = rest.groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("_bytes"))
+    again = F.coalesce(F.col("type"), F.lit("")) == "revisit"
+    wanted, rest = records.where(again), records.where(~again)
+    first = rest.where("error is null").groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_first"), F.max("payload_bytes").alias("_bytes"))
+    lost = F.when(~F.col("refers_to").eqNullSafe(F.col("_first")), F.lit("no response with this digest has the page that the revisit refers to"))
     named = wanted.join(first, wanted.digest == F.col("_digest"), "left").select(
-        *[c for c in records.columns if c != "payload_bytes"], F.col("_bytes").alias("payload_bytes"), "refers_to"
+        *[c for c in records.columns if c not in ("payload_bytes", "error")], F.col("_bytes").alias("payload_bytes"), F.coalesce("error", lost).alias("error")
     )
     return rest.unionByName(named)
