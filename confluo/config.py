@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from confluo.functions.terms import OWL, PIPELINE, RDFS, SKOS, format_family, local_name, source_name
+from confluo.functions.terms import OWL, PIPELINE, RDFS, SKOS, XSD, format_family, local_name, source_name
 from confluo.functions.turtle import Graph, parse
+from confluo.plans.storage import LocalStore, Store, join
 
 ALGORITHMS = ("ratio", "token_sort_ratio", "token_set_ratio")
 DEFAULT_ALGORITHM = "token_set_ratio"
@@ -250,15 +250,30 @@ def from_turtle(text: str, knowledge: str | None = None) -> Federation:
     return from_graph(Graph(parse(text)), Graph(parse(knowledge)) if knowledge else None)
 
 
-def load(root: str) -> Federation:
+def load(root: str, store: Store | None = None) -> Federation:
     """The federation of an instance folder."""
-    with open(os.path.join(root, CONFIG_FILE), encoding="utf-8") as f:
-        text = f.read()
-    path = os.path.join(root, KNOWLEDGE_FILE)
-    if not os.path.exists(path):
-        return from_turtle(text)
-    with open(path, encoding="utf-8") as f:
-        return from_turtle(text, f.read())
+    store = store or LocalStore()
+    knowledge = join(root, KNOWLEDGE_FILE)
+    return from_turtle(store.read(join(root, CONFIG_FILE)), store.read(knowledge) if store.exists(knowledge) else None)
+
+
+def shape_problems(g: Graph) -> list[str]:
+    """What the document itself gets wrong, before it is read as a federation."""
+    short = lambda iri: ":" + iri[len(PIPELINE) :] if iri.startswith(PIPELINE) else iri
+    out = []
+    for root in g.subjects_of_type(PIPELINE + "Federation"):
+        for term in g.terms(root, PIPELINE + "hasSource"):
+            if term.kind != "iri":
+                out.append(f"{CONFIG_FILE}: {short(root)} needs at least one :hasSource that is an IRI")
+                continue
+            formats = g.terms(term.value, PIPELINE + "format")
+            if len(formats) > 1 or any(f.kind != "iri" for f in formats):
+                out.append(f"{CONFIG_FILE}: {short(term.value)} needs exactly one :format IRI")
+    for s in dict.fromkeys(s.value for s, p, _ in g.triples if p == PIPELINE + "iriSource"):
+        flags = g.terms(s, PIPELINE + "iriSource")
+        if len(flags) != 1 or flags[0].kind != "literal" or flags[0].datatype != XSD + "boolean" or flags[0].value not in ("true", "false", "1", "0"):
+            out.append(f"{CONFIG_FILE}: {short(s)} :iriSource must be a single boolean")
+    return out
 
 
 def problems(fed: Federation) -> list[str]:
@@ -270,7 +285,7 @@ def problems(fed: Federation) -> list[str]:
     for s in fed.sources:
         if s.format is None:
             out.append(f"{CONFIG_FILE}: {short(s.iri)} needs exactly one :format IRI")
-        elif format_family(s.format) not in ("json", "xml", "html", "xlsx"):
+        elif format_family(s.format).lower() not in ("json", "xml", "html", "xlsx"):
             out.append(f"{CONFIG_FILE}: {short(s.iri)} has unsupported format {format_family(s.format)}")
         if sum(f.iri_source for f in s.fields) > 1:
             out.append(f"{CONFIG_FILE}: {short(s.iri)} has more than one :iriSource field")
@@ -292,37 +307,70 @@ def problems(fed: Federation) -> list[str]:
     return out
 
 
-def validate(root: str, cleaners: set[str] = frozenset(), fetchers: set[str] = frozenset()) -> list[str]:
+def validate(root: str, cleaners: set[str] = frozenset(), fetchers: set[str] = frozenset(), store: Store | None = None) -> list[str]:
     """Problems of an instance folder: configuration present and sound, folders in step with it both ways.
 
     ``cleaners`` and ``fetchers`` name the sources that bring callables of their own.
     """
-    path = os.path.join(root, CONFIG_FILE)
-    if not os.path.exists(path):
+    store = store or LocalStore()
+    if not store.exists(join(root, CONFIG_FILE)):
         return [f"{CONFIG_FILE} missing"]
     try:
-        fed = load(root)
+        out = shape_problems(Graph(parse(store.read(join(root, CONFIG_FILE)))))
+        fed = load(root, store)
     except ValueError as e:
         return [f"{CONFIG_FILE}: {e}"]
-    out = problems(fed)
+    out += [p for p in problems(fed) if p not in out]
+    folders = store.folders(join(root, "sources"))
     for s in fed.sources:
-        if s.name not in fetchers and not os.path.isdir(os.path.join(root, "sources", s.name, "static")):
+        if s.name not in fetchers and not store.exists(join(root, "sources", s.name, "static")):
             out.append(f"sources/{s.name} has no fetcher and no static/ to default to")
         if s.name not in cleaners and s.key is None:
             out.append(f"sources/{s.name} has no clean function and no :iriSource field to derive the default clean from")
-    folder = os.path.join(root, "sources")
     declared = {s.name for s in fed.sources}
-    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
-        if os.path.isdir(os.path.join(folder, name)) and name not in declared:
-            out.append(f"sources/{name}/ has no :hasSource declaration in {CONFIG_FILE}")
-    return out
-
-
-def scaffold(target: str) -> None:
-    """Start a new instance folder; refuses to overwrite one."""
-    if os.path.exists(os.path.join(target, CONFIG_FILE)):
+    return out + [f"sources/{name}/ has no :hasSource declaration in {CONFIG_FILE}" for name in folders if name not in declared]
+
+
+# A small instance to start from; it runs as it is.
+STARTER = f"""@prefix : <{PIPELINE}> .
+@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+@prefix schema: <http://schema.org/> .
+
+:federation a :Federation ; rdfs:label "Directory" ; :hasSource :townSource , :clubSource .
+
+:place a :TargetSchema ; :targetClass schema:Place ; rdfs:label "Place" ; :hasTargetField :placeId , :placeName , :placeCity .
+:placeId a :TargetField ; :targetPredicate schema:identifier ; :multiValued true .
+:placeName a :TargetField ; :targetPredicate schema:name .
+:placeCity a :TargetField ; :targetPredicate schema:addressLocality .
+
+:townSource a :Source ; rdfs:label "Town" ; :format <http://example.org/file-type/JSON> ; :hasField :townNo , :townTitle , :townCity .
+:townNo a :SourceField ; :fieldPath "no" ; :iriSource true .
+:townTitle a :SourceField ; :fieldPath "title" .
+:townCity a :SourceField ; :fieldPath "city" .
+:clubSource a :Source ; rdfs:label "Club" ; :format <http://example.org/file-type/JSON> ; :hasField :clubKey , :clubName , :clubCity .
+:clubKey a :SourceField ; :fieldPath "key" ; :iriSource true .
+:clubName a :SourceField ; :fieldPath "name" .
+:clubCity a :SourceField ; :fieldPath "city" .
+
+:townMapping a :Mapping ; :fromSource :townSource ; :toTarget :place ;
+    :hasFieldMapping [ :from :townNo ; :to :placeId ] , [ :from :townTitle ; :to :placeName ] , [ :from :townCity ; :to :placeCity ] .
+:clubMapping a :Mapping ; :fromSource :clubSource ; :toTarget :place ;
+    :hasFieldMapping [ :from :clubKey ; :to :placeId ] , [ :from :clubName ; :to :placeName ] , [ :from :clubCity ; :to :placeCity ] .
+
+:placeMatch a :MatchRule ; :forTarget :place ; :targetNamespace "https://example.org/directory#" ; :mintedSubjectPrefix "place-" ; :minScore 0.8 ;
+    :hasHardCriterion [ :on schema:addressLocality ] ; :hasWeightedCriterion [ :on schema:name ; :weight 1.0 ] .
+"""
+STARTER_ROWS = {
+    "town": '[{"no": 1, "title": "Harbour Pool", "city": "Kiel"}, {"no": 2, "title": "Old Mill", "city": "Kiel"}]',
+    "club": '[{"key": "p", "name": "Pool Harbour", "city": "Kiel"}, {"key": "q", "name": "Chess Room", "city": "Husum"}]',
+}
+
+
+def scaffold(target: str, store: Store | None = None) -> None:
+    """Start a new instance folder with two small sources; refuses to overwrite one."""
+    store = store or LocalStore()
+    if store.exists(join(target, CONFIG_FILE)):
         raise FileExistsError(f"{target} already holds {CONFIG_FILE}")
-    os.makedirs(os.path.join(target, "config"), exist_ok=True)
-    os.makedirs(os.path.join(target, "sources"), exist_ok=True)
-    with open(os.path.join(target, CONFIG_FILE), "w", encoding="utf-8") as f:
-        f.write(f"@prefix : <{PIPELINE}> .\n\n:federation a :Federation .\n")
+    store.write(join(target, CONFIG_FILE), STARTER)
+    for name, rows in STARTER_ROWS.items():
+        store.write(join(target, "sources", name, "static", "places.json"), rows + "\n")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 # The namespaces of configuration vocabulary, records and common predicates.
 PIPELINE = "https://civic-data.de/pipeline#"
-XYZ = "http://sparql.xyz/facade-x/data/"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -47,27 +46,22 @@ def source_name(iri: str) -> str:
 
 
 def format_family(iri: str) -> str:
-    return local_name(iri).lower()
+    """The code of a file type without what follows an underscore: ``RDF`` of ``.../RDF_TURTLE``."""
+    return local_name(iri).partition("_")[0]
 
 
-def shrink(iri: str, prefixes: dict[str, str]) -> str:
-    """Prefixed name under the first prefix that matches, else the IRI itself."""
-    for prefix, base in prefixes.items():
-        if iri.startswith(base):
-            return f"{prefix}:{iri[len(base):]}"
-    return iri
+def compact(iri: str, prefixes: dict[str, str]) -> str:
+    """The IRI with the longest base that it starts with written as its prefix."""
+    bases = {base: prefix for prefix, base in prefixes.items() if iri.startswith(base)}
+    longest = max(bases, key=len, default="")
+    return f"{bases[longest]}:{iri.removeprefix(longest)}" if bases else iri
 
 
 def shrink_column(iri: Column, prefixes: dict[str, str]) -> Column:
-    out = None
-    for prefix, base in prefixes.items():
-        short = F.concat(F.lit(f"{prefix}:"), F.substring(iri, F.lit(len(base) + 1), F.length(iri)))
-        out = F.when(iri.startswith(base), short) if out is None else out.when(iri.startswith(base), short)
-    return iri if out is None else out.otherwise(iri)
-
-
-def prefix_block(prefixes: dict[str, str]) -> str:
-    return "\n".join(f"PREFIX {p}: <{base}>" for p, base in prefixes.items())
+    """``compact`` of a column."""
+    ordered = sorted(prefixes.items(), key=lambda p: -len(p[1]))
+    cases = [F.when(iri.startswith(base), F.concat(F.lit(f"{prefix}:"), F.substring(iri, F.lit(len(base) + 1), F.length(iri)))) for prefix, base in ordered]
+    return F.coalesce(*cases, iri)
 
 
 def encode_for_uri(text: Column) -> Column:

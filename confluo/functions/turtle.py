@@ -210,9 +210,9 @@ def escape_literal(value: Column) -> Column:
 
 
 def iri_text(iri: Column, prefixes: dict[str, str]) -> Column:
-    """Prefixed where the local part allows it, else in angle brackets."""
+    """Prefixed where the local part allows it, else in angle brackets; blank nodes (``_:``) as they are."""
     short = shrink_column(iri, prefixes)
-    return F.when((short != iri) & short.rlike(PLAIN), short).otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
+    return F.when(((short != iri) & short.rlike(PLAIN)) | iri.startswith("_:"), short).otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
 
 
 def term_text(prefixes: dict[str, str]) -> Column:

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from confluo.config import Federation
 from confluo.functions import turtle
-from confluo.functions.terms import COMMON_PREFIXES, IDENTIFIER, shrink
+from confluo.functions.terms import COMMON_PREFIXES, IDENTIFIER, compact
 
 Exporter = Callable[[DataFrame], DataFrame | bytes]
 
 
 def field_offer(spark: SparkSession, fed: Federation, final: DataFrame, prefixes: dict[str, str] = COMMON_PREFIXES) -> DataFrame:
     """Declared target predicates that have data, without the identifier: ``(predicate, label)``."""
-    rows = list({f.predicate: (f.predicate, shrink(f.predicate, prefixes)) for f in fed.fields if f.predicate != IDENTIFIER}.values())
+    rows = list({f.predicate: (f.predicate, compact(f.predicate, prefixes)) for f in fed.fields if f.predicate != IDENTIFIER}.values())
     return spark.createDataFrame(rows, "predicate string, label string").join(final.select("predicate").distinct(), "predicate", "left_semi")
 
 
@@ -99,15 +99,15 @@ def schema_overview(spark: SparkSession, fed: Federation, prefixes: dict[str, st
         for r in m.relationships:
             to, field = fed.schema(r.to_schema), fed.field(r.to_field)
             if to and field and m.target:
-                text = f"{shrink(field.predicate, prefixes)} -> {to.label or to.iri}"
+                text = f"{compact(field.predicate, prefixes)} -> {to.label or to.iri}"
                 links.setdefault(m.target, []).append(text)
-    rows = [(s.label or s.iri, shrink(s.target_class, prefixes), "; ".join(dict.fromkeys(links.get(s.iri, [])))) for s in fed.schemas]
+    rows = [(s.label or s.iri, compact(s.target_class, prefixes), "; ".join(dict.fromkeys(links.get(s.iri, [])))) for s in fed.schemas]
     return spark.createDataFrame(rows, "schema string, targetClass string, relationships string")
 
 
 def schema_fields(spark: SparkSession, fed: Federation, schema: str, prefixes: dict[str, str] = COMMON_PREFIXES) -> DataFrame:
     """``(predicate, multiValued, resolveOverride)`` of one target schema."""
-    rows = [(shrink(f.predicate, prefixes), "true" if f.multi_valued else "", fed.resolve.overrides.get(f.predicate, "")) for f in fed.schema(schema).fields]
+    rows = [(compact(f.predicate, prefixes), "true" if f.multi_valued else "", fed.resolve.overrides.get(f.predicate, "")) for f in fed.schema(schema).fields]
     return spark.createDataFrame(rows, "predicate string, multiValued string, resolveOverride string")
 
 

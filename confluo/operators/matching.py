@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confluo.config import Federation, MatchRule
 from confluo.functions.similarity import processed, similarity, upper_bound
 from confluo.functions.terms import FROM_SOURCE, RDF_TYPE, collated
 from confluo.operators.components import connected_components
+from confluo.plans.shared import materialize
+from confluo.plans.skew import keyed_join, numbered
 
 SCORE = "struct<on:string,similarity:double,weight:double,value_a:string,value_b:string>"
 
@@ -148,6 +150,63 @@ def match_rule(mapped: DataFrame, fed: Federation, rule: MatchRule, same_as: Dat
     return rows, manual.unionByName(kept), vetoed.select("a", "b")
 
 
+def _blocks(rows: DataFrame, hard: list[str], untrusted: list[str], different: DataFrame | None) -> DataFrame:
+    """Blocks of several records with their smallest one, those apart that lie in one source which tells its entities
+    apart itself; ``vetoed`` where two records or more are named by a veto."""
+    there = rows.dropna(subset=hard)
+    vetoed = F.lit(False)
+    if different is not None:
+        vetoes = different.select(F.col("x").alias("record")).union(different.select("y")).distinct().withColumn("_veto", F.lit(True))
+        there, vetoed = there.join(vetoes, "record", "left"), F.count("_veto") > 1
+    own = F.coalesce(F.col("source").isin(untrusted), F.lit(False)) if untrusted else F.lit(False)
+    lone = F.min(own) & (F.count_distinct("source") == 1) if untrusted else F.lit(False)
+    return there.groupBy(*hard).agg(F.min("record").alias("least"), F.count(F.lit(1)).alias("n"), vetoed.alias("vetoed"), lone.alias("lone")).where("n > 1 and not lone").drop("lone")
+
+
+def block_edges(rows: DataFrame, hard: list[str], untrusted: list[str], different: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` with the components of all pairs of each block, without listing the pairs.
+
+    Every record of a block is joined to the block's smallest one. That holds unless all records come from
+    one source that tells its entities apart itself (no pair at all), or a veto lies inside the block: only there
+    pairs are listed.
+    """
+    blocks = materialize(_blocks(rows, hard, untrusted, different), "blocks")
+    stars = keyed_join(rows, blocks.where("not vetoed").drop("n", "vetoed"), blocks.where("not vetoed").select(*hard, "n"), hard)
+    stars = stars.where("record <> least").select(F.col("least").alias("a"), F.col("record").alias("b"))
+    if blocks.where("vetoed").isEmpty():
+        return stars
+    listed = block_pairs(rows.join(blocks.where("vetoed").select(*hard), hard, "left_semi"), hard, untrusted)
+    pairs = listed.select(F.col("a_record").alias("a"), F.col("b_record").alias("b"))
+    return stars.unionByName(split_vetoed(pairs, different)[0])
+
+
+def rule_clusters(rows: DataFrame, fed: Federation, rule: MatchRule, evidence: DataFrame, same_as: DataFrame | None = None, different: DataFrame | None = None) -> DataFrame:
+    """``(root, member)`` of a rule. With hard criteria alone the blocks are the clusters where nothing is curated,
+    and few edges make them otherwise, so that the evidence need not be computed."""
+    if rule.weighted or not rule.hard:
+        return clusters_of(rows, evidence)
+    curated = any(x is not None for x in (same_as, different)) or fed.same_as or fed.different_from
+    if curated:
+        return clusters_of(rows, link_edges(rows, fed, rule, evidence, same_as, different))
+    hard = [f"v{k}" for k in range(len(rule.hard))]
+    blocks = materialize(_blocks(rows, hard, [s.iri for s in fed.sources if not s.dedup_within], None), "blocks")
+    found = keyed_join(rows, blocks.select(*hard, "least"), blocks.select(*hard, "n"), hard).select(F.col("record").alias("member"), F.col("least").alias("root"))
+    alone = rows.select(F.col("record").alias("member")).join(found, "member", "left_anti")
+    return found.select("root", "member").unionByName(alone.select(F.col("member").alias("root"), "member"))
+
+
+def link_edges(rows: DataFrame, fed: Federation, rule: MatchRule, evidence: DataFrame, same_as: DataFrame | None = None, different: DataFrame | None = None) -> DataFrame:
+    """Edges ``(a, b)`` whose components are the rule's clusters: the evidence, or for a rule of hard criteria alone
+    far fewer, so that the evidence need not be computed."""
+    if rule.weighted or not rule.hard:
+        return evidence.select("a", "b")
+    spark = rows.sparkSession
+    same_as = pair_frame(spark, fed.same_as) if same_as is None else same_as
+    different = pair_frame(spark, fed.different_from) if different is None else different
+    untrusted = [s.iri for s in fed.sources if not s.dedup_within]
+    return block_edges(rows, [f"v{k}" for k in range(len(rule.hard))], untrusted, different).unionByName(manual_pairs(rows, same_as))
+
+
 def clusters_of(records: DataFrame, edges: DataFrame) -> DataFrame:
     """``(root, member)``: components of the edges; records without edges are clusters of their own."""
     found = connected_components(edges, "a", "b")
@@ -155,11 +214,20 @@ def clusters_of(records: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("component", "record").alias("root"), F.col("record").alias("member"))
 
 
+def grouped(clusters: DataFrame) -> DataFrame:
+    """``(root, members, size)``, members in code point order."""
+    members = clusters.groupBy("root").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    return members.withColumn("size", F.size("members"))
+
+
+def cluster_order() -> list[Column]:
+    """Largest first, then smallest member in locale order."""
+    return [F.col("size").desc(), collated(F.col("members")[0]), F.col("members")[0]]
+
+
 def ranked(clusters: DataFrame) -> DataFrame:
-    """``(root, members, size, rank)``: largest first, then smallest member in locale order."""
-    grouped = clusters.groupBy("root").agg(F.array_sort(F.collect_list("member")).alias("members"))
-    order = Window.orderBy(F.col("size").desc(), collated(F.col("members")[0]), F.col("members")[0])
-    return grouped.withColumn("size", F.size("members")).withColumn("rank", F.row_number().over(order))
+    """``(root, members, size, rank)``: clusters numbered in ``cluster_order``."""
+    return numbered(grouped(clusters), cluster_order(), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def statistics(rows: DataFrame, rule: MatchRule, clusters: DataFrame, evidence: DataFrame, vetoed: DataFrame) -> DataFrame:

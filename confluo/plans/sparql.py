@@ -72,6 +72,16 @@ class Path:
     parts: list
 
 
+def backwards(path: Path) -> Path:
+    """The path that leads from what ``path`` reaches to where it starts."""
+    if path.op == "inverse":
+        return path.parts[0]
+    if path.op in ("iri", "not"):
+        return Path("inverse", [path])
+    parts = [backwards(p) for p in path.parts]
+    return Path(path.op, parts[::-1] if path.op == "sequence" else parts)
+
+
 class Parser:
     """Recursive descent into nested tuples: patterns by kind, expressions as (operator, arguments)."""
 
@@ -743,7 +753,11 @@ class Compiler:
         else:
             if p.op == "iri" and isinstance(s, Const):
                 triples = triples.where(F.col("s") == s.value)
-            rows = self.pairs(p, triples, s.value if isinstance(s, Const) and p.op != "iri" else None)
+            if isinstance(o, Const) and not isinstance(s, Const) and p.op in ("plus", "star", "maybe", "sequence"):
+                # bounded at its end: walk backwards from there
+                rows = self.pairs(backwards(p), triples, o.value).select(F.col("b").alias("a"), F.col("a").alias("b"))
+            else:
+                rows = self.pairs(p, triples, s.value if isinstance(s, Const) and p.op != "iri" else None)
         parts = [(s, "a"), (p, "m"), (o, "b")] if isinstance(p, Var) else [(s, "a"), (o, "b")]
         seen: dict[str, str] = {}
         for term, column in parts:
@@ -757,25 +771,62 @@ class Compiler:
         return rows.select(*[F.col(c).alias(v) for v, c in seen.items()]) if seen else rows.select(F.lit(1).alias("_one")).limit(1).drop("_one")
 
     def join(self, left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataFrame:
-        """Join on shared variables; a variable unbound on either side is compatible with anything."""
+        """Join on shared variables; a variable unbound on either side is compatible with anything.
+
+        Rows where such a variable is bound and rows where it is not are joined apart, so every join is
+        by equality on what is bound on both sides.
+        """
         if left is None:
             return right
         shared = [c for c in left.columns if c in right.columns]
+        mine, other = getattr(left, "_loose", set()), getattr(right, "_loose", set())
+        loose = mine | other
+        columns = [*left.columns, *[c for c in right.columns if c not in shared]]
+        added = set(columns[len(left.columns) :]) if how == "left" else set()
+        split = next((c for c in shared if c in mine or (c in other and how == "inner")), None)
+        if split is not None:
+            stored = self._loosened(materialize(left, "optional"), mine)
+            out = None
+            for unbound in [False, True] if split in mine else [False]:
+                for missing in [False, True] if split in other and how == "inner" else [False]:
+                    l, r = stored, right
+                    if split in mine:
+                        l = self._loosened(l.where(F.col(split).isNull() if unbound else F.col(split).isNotNull()), mine - {split})
+                    if split in other and how == "inner":
+                        r = self._loosened(r.where(F.col(split).isNull() if missing else F.col(split).isNotNull()), other - {split})
+                    if unbound:
+                        l = self._loosened(l.drop(split), mine - {split})
+                    elif missing:
+                        r = self._loosened(r.drop(split), other - {split})
+                    part = self.join(l, r, how).select(*columns)
+                    out = part if out is None else out.unionByName(part)
+            return self._loosened(out, loose | added)
         names = {c: self.fresh() for c in shared}
         renamed = right.withColumnsRenamed(names)
-        loose = getattr(left, "_loose", set()) | getattr(right, "_loose", set())
         test: Column | None = None
         for c, r in names.items():
             t = F.col(c) == F.col(r)
             if c in loose:
-                t = t | F.col(c).isNull() | F.col(r).isNull()
+                t = t | F.col(r).isNull()
             test = t if test is None else test & t
         out = left.crossJoin(renamed) if test is None and how == "inner" else left.join(renamed, F.lit(True) if test is None else test, how)
-        columns = [F.coalesce(F.col(c), F.col(names[c])).alias(c) if c in names and c in loose else F.col(c) for c in left.columns]
-        columns += [F.col(c) for c in right.columns if c not in shared]
-        out = out.select(*columns)
-        added = {c for c in right.columns if c not in shared} if how == "left" else set()
-        out._loose = loose | added
+        out = out.select(*[F.coalesce(F.col(c), F.col(names[c])).alias(c) if c in names and c in loose else F.col(c) for c in columns])
+        return self._loosened(out, loose | added)
+
+    @staticmethod
+    def _loosened(df: DataFrame, loose: set[str]) -> DataFrame:
+        df._loose = loose
+        return df
+
+    @staticmethod
+    def connected(triples: list, bound: set[str]) -> list:
+        """The patterns in an order in which each shares a variable with what is bound before it, if there is one."""
+        rest, out, bound = list(triples), [], set(bound)
+        while rest:
+            names = [{t.name for t in triple if isinstance(t, Var)} for triple in rest]
+            k = next((k for k, n in enumerate(names) if not bound or not n or n & bound), 0)
+            bound |= names[k]
+            out.append(rest.pop(k))
         return out
 
     def group(self, elements: list, triples: DataFrame) -> DataFrame:
@@ -784,7 +835,7 @@ class Compiler:
         for el in elements:
             kind = el[0]
             if kind == "bgp":
-                for triple in el[1]:
+                for triple in self.connected(el[1], set(out.columns) if out is not None else set()):
                     out = self.join(out, self.pattern(triple, triples))
             elif kind == "optional":
                 inner_filters = [e for e in el[1] if e[0] == "filter"]

@@ -15,9 +15,10 @@ from confluo.functions.terms import RDF_TYPE, SCHEMA, XSD, encode_for_uri
 from confluo.operators import exports, identity, merge, reports
 from confluo.operators.clean import default_clean, record_iri, split_entities
 from confluo.operators.mapping import map_sources
-from confluo.operators.matching import block_pairs, clusters_of, match_rule, pair_frame, ranked, statistics, subjects
+from confluo.operators.matching import block_pairs, clusters_of, grouped, match_rule, pair_frame, ranked, rule_clusters, statistics, subjects
 from confluo.operators.resolve import resolve
-from confluo.plans import engine, sparql
+from confluo.plans import engine, publish, sparql
+from confluo.plans.shared import materialize
 from confluo.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,15 +86,15 @@ def run(spark: SparkSession, sf_dir: str, fed: Federation, **more) -> engine.Res
 
 def product_clusters(spark: SparkSession, sf_dir: str, fed: Federation) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(mapped, records, evidence, clusters)."""
-    facts = mapped(spark, sf_dir, fed)
+    facts = materialize(mapped(spark, sf_dir, fed), "mapped")
     rows, evidence, _ = match_rule(facts, fed, fed.rules[0])
-    return facts, rows, evidence, clusters_of(rows, evidence)
+    return facts, rows, evidence, materialize(rule_clusters(materialize(rows, "subjects"), fed, fed.rules[0], evidence), "clusters")
 
 
 def product_merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(provenance, merged) of the product federation."""
     facts, _, _, clusters = product_clusters(spark, sf_dir, product_federation())
-    done = identity.assign(ranked(clusters), identity.empty_registry(spark), NS, "product-")
+    done = identity.assign(grouped(clusters), identity.empty_registry(spark), NS, "product-")
     prov = merge.provenance(facts, done.clusters)
     return prov, merge.merged(prov)
 
@@ -181,12 +182,13 @@ def clean_split_entities(spark, sf_dir):
     SELECT record, '{SCHEMA}identifier' AS predicate, id::VARCHAR AS value, 'literal' AS kind, source FROM party
     UNION ALL SELECT record, '{SCHEMA}name', name, 'literal', source FROM party WHERE regexp_replace(name, '\\s+', '', 'g') <> ''
     UNION ALL SELECT record, '{SCHEMA}nationality', nation::VARCHAR, 'literal', source FROM party
+    UNION ALL SELECT record, '{SCHEMA}balance', balance::VARCHAR, 'literal', source FROM party
     UNION ALL SELECT record, '{RDF_TYPE}', '{SCHEMA}Organization', 'iri', source FROM party
     UNION ALL SELECT record, '{P}fromSource', source, 'iri', source FROM party"""
 )
 def map_direct_facts(spark, sf_dir):
     facts = mapped(spark, sf_dir, party_federation(hard=(SCHEMA + "nationality",)))
-    return facts.where(F.col("predicate") != SCHEMA + "balance").select("record", "predicate", "value", "kind", "source")
+    return facts.select("record", "predicate", "value", "kind", "source")
 
 
 def _sales(spark, sf_dir):
@@ -372,12 +374,12 @@ def match_cluster_rank(spark, sf_dir):
 @query(
     f"""WITH {PARTS} SELECT count(*) AS entities, count(DISTINCT root) AS buckets, count(DISTINCT root) AS clusters,
     (SELECT count(*) FROM (SELECT root FROM clustered GROUP BY root HAVING count(*) > 1)) AS multi_member,
-    (SELECT count(*) FROM clustered a JOIN clustered b ON a.root = b.root AND a.record < b.record) AS matched_pairs FROM clustered"""
+    (SELECT count(*) FROM clustered a JOIN clustered b ON a.root = b.root AND a.record < b.record) AS matched_pairs, 0::BIGINT AS same_as_unions, 0::BIGINT AS kept_distinct FROM clustered"""
 )
 def match_stats(spark, sf_dir):
     fed = product_federation()
     rows, evidence, vetoed = match_rule(mapped(spark, sf_dir, fed), fed, fed.rules[0])
-    return statistics(rows, fed.rules[0], clusters_of(rows, evidence), evidence, vetoed).select("entities", "buckets", "clusters", "multi_member", "matched_pairs")
+    return statistics(rows, fed.rules[0], clusters_of(rows, evidence), evidence, vetoed).select("entities", "buckets", "clusters", "multi_member", "matched_pairs", "same_as_unions", "kept_distinct")
 
 
 # --- identity ---------------------------------------------------------------------------------
@@ -386,17 +388,18 @@ def match_stats(spark, sf_dir):
 @query(f"WITH {PARTS} SELECT entity_iri, record AS member FROM entity")
 def mint_iris(spark, sf_dir):
     clusters = product_clusters(spark, sf_dir, product_federation())[3]
-    return identity.assign(ranked(clusters), identity.empty_registry(spark), NS, "product-").clusters
+    return identity.assign(grouped(clusters), identity.empty_registry(spark), NS, "product-").clusters
 
 
 def _prior(spark, sf_dir):
     """An earlier registry: the lower half of the parts, under one IRI per brand and name."""
-    parts = table(spark, sf_dir, "part").where("p_partkey < 1000")
+    parts = table(spark, sf_dir, "part")
+    parts = parts.crossJoin(F.broadcast(parts.agg(F.avg("p_partkey").alias("middle")))).where("p_partkey < middle")
     return parts.select(record_iri("part", F.col("p_partkey")).alias("member"), F.concat(F.lit("urn:old:"), F.sha1(F.concat_ws("|", "p_brand", "p_name"))).alias("entity_iri"), F.col("p_partkey").alias("seq"))
 
 
 PRIOR = f"""{PARTS}, known AS (
-  SELECT *, p_partkey < 1000 AS old, 'urn:old:' || sha1(p_brand || '|' || p_name) AS old_iri, bool_or(p_partkey < 1000) OVER (PARTITION BY root) AS reused FROM clustered
+  SELECT *, p_partkey < (SELECT avg(p_partkey) FROM part) AS old, 'urn:old:' || sha1(p_brand || '|' || p_name) AS old_iri, bool_or(p_partkey < (SELECT avg(p_partkey) FROM part)) OVER (PARTITION BY root) AS reused FROM clustered
 ), assigned AS (
   SELECT *, CASE WHEN reused THEN old_iri ELSE '{NS}product-' || substr(sha1(root), 1, 12) END AS iri FROM known
 )"""
@@ -406,7 +409,7 @@ PRIOR = f"""{PARTS}, known AS (
 def registry_reconcile(spark, sf_dir):
     clusters = product_clusters(spark, sf_dir, product_federation())[3]
     prior = _prior(spark, sf_dir)
-    done = identity.assign(ranked(clusters), prior, NS, "product-")
+    done = identity.assign(grouped(clusters), prior, NS, "product-")
     return identity.update_registry(prior, done.decisions).select("member", "entity_iri")
 
 
@@ -416,7 +419,7 @@ def registry_reconcile(spark, sf_dir):
 )
 def history_events(spark, sf_dir):
     clusters = product_clusters(spark, sf_dir, product_federation())[3]
-    done = identity.assign(ranked(clusters), _prior(spark, sf_dir), NS, "product-")
+    done = identity.assign(grouped(clusters), _prior(spark, sf_dir), NS, "product-")
     history = identity.append_history(identity.empty_history(spark), identity.events(done.decisions), "2024-01-01 00:00:00")
     return history.where("revision = 1").select("event", "entity_iri", F.size("members").cast("long").alias("n"))
 
@@ -476,7 +479,7 @@ def resolve_overrides(spark, sf_dir):
 # --- reports ----------------------------------------------------------------------------------
 
 
-@query("SELECT 'customer' AS name, 'json' AS format, 4 AS fields, 4 AS mapped_fields, (SELECT count(*) FROM customer) AS records UNION ALL SELECT 'supplier', 'json', 4, 4, (SELECT count(*) FROM supplier)")
+@query("SELECT 'customer' AS name, 'JSON' AS format, 4 AS fields, 4 AS mapped_fields, (SELECT count(*) FROM customer) AS records UNION ALL SELECT 'supplier', 'JSON', 4, 4, (SELECT count(*) FROM supplier)")
 def report_source_overview(spark, sf_dir):
     fed = party_federation()
     return reports.source_overview(reports.source_table(spark, fed), mapped(spark, sf_dir, fed)).select("name", "format", "fields", "mapped_fields", "records")
@@ -742,11 +745,160 @@ def product_directory_final(spark, sf_dir):
       SELECT *, '{NS}organization-' || substr(sha1(min(record) OVER (PARTITION BY nation, upper(name))), 1, 12) AS entity_iri FROM party
     ) SELECT entity_iri, '{SCHEMA}name' AS predicate, min(name) AS value FROM ent GROUP BY entity_iri
     UNION ALL SELECT entity_iri, '{SCHEMA}nationality', min(nation::VARCHAR) FROM ent GROUP BY entity_iri
+    UNION ALL SELECT entity_iri, '{SCHEMA}balance', min(balance::VARCHAR) FROM ent GROUP BY entity_iri
     UNION ALL SELECT entity_iri, '{RDF_TYPE}', '{SCHEMA}Organization' FROM ent GROUP BY entity_iri"""
 )
 def party_directory_final(spark, sf_dir):
     fed = party_federation(hard=(SCHEMA + "nationality",), weighted=(Criterion(SCHEMA + "name"),), min_score=1.0, algorithm="ratio")
-    return run(spark, sf_dir, fed).final.where(F.col("predicate") != SCHEMA + "balance").select("entity_iri", "predicate", "value")
+    return run(spark, sf_dir, fed).final.select("entity_iri", "predicate", "value")
+
+
+# --- what a run publishes, reports on one entity, term functions ------------------------------------
+
+
+@query(
+    f"""WITH {PARTS}, pairs AS (SELECT a.entity_iri, a.record AS a, b.record AS b FROM entity a JOIN entity b ON a.root = b.root AND a.record < b.record)
+    SELECT '{P}hasMember' AS predicate, entity_iri, record AS value FROM entity
+    UNION ALL SELECT DISTINCT '{RDF_TYPE}', entity_iri, '{P}MatchCluster' FROM entity
+    UNION ALL SELECT '{P}pair', NULL, a FROM pairs UNION ALL SELECT '{P}pair', NULL, b FROM pairs
+    UNION ALL SELECT '{P}aggregateScore', NULL, '0.000' FROM pairs
+    UNION ALL SELECT '{P}similarityAlgorithm', NULL, 'token_set_ratio' FROM pairs
+    UNION ALL SELECT '{RDF_TYPE}', NULL, '{P}MatchEvidence' FROM pairs"""
+)
+def publish_match_facts(spark, sf_dir):
+    result = run(spark, sf_dir, product_federation())
+    facts = publish.match_facts(result.clusters, result.pairs).where(F.col("kind") != "bnode")
+    return facts.select("predicate", F.when(~F.startswith("entity_iri", F.lit("_:")), F.col("entity_iri")).alias("entity_iri"), "value")
+
+
+@query(f"""WITH {PARTS} SELECT '[] rdf:reifies <<( <' || entity_iri || '> <' || predicate || '> ' || CASE kind WHEN 'iri' THEN '<' || value || '>' ELSE '"' || value || '"' ||
+    CASE WHEN predicate IN ('{SCHEMA}identifier', '{SCHEMA}size') THEN '^^<{XSD}integer>' ELSE '' END END || ' )>>; prov:wasDerivedFrom <' || record || '>.' AS line FROM facts""")
+def publish_provenance_lines(spark, sf_dir):
+    return publish.provenance_lines(product_merged(spark, sf_dir)[0], {})
+
+
+@query(f"WITH {PARTY} SELECT record, '{SCHEMA}name' AS predicate, name AS value FROM (SELECT record, CASE nation WHEN 3 THEN ' ' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE name END AS name FROM party) WHERE trim(name) <> ''")
+def map_blank_filter(spark, sf_dir):
+    fed = party_federation(hard=(SCHEMA + "nationality",))
+    blank = lambda df, name, nation: df.withColumn(name, F.when(F.col(nation) == 3, " ").when(F.col(nation) == 4, "").when(F.col(nation) != 5, F.col(name)).when(F.col(nation).isNull(), F.col(name)))
+    cleaned = {s.name: default_clean(blank(table(spark, sf_dir, s.name), f"{s.name[0]}_name", f"{s.name[0]}_nationkey"), s) for s in fed.enabled}
+    return map_sources(cleaned, fed).where(F.col("predicate") == SCHEMA + "name").select("record", "predicate", "value")
+
+
+@query(
+    f"""SELECT '{P}client-' || c_custkey AS record, '{SCHEMA}name' AS predicate, c_name AS value FROM customer
+    UNION ALL SELECT '{P}client-' || c_custkey, '{SCHEMA}telephone', c_mktsegment FROM customer
+    UNION ALL SELECT DISTINCT '{P}client-' || c_custkey, '{SCHEMA}keywords', x FROM (SELECT c_custkey, unnest([c_mktsegment, c_nationkey::VARCHAR, c_mktsegment]) AS x FROM customer)"""
+)
+def map_nested_fields(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(record_iri("client", F.col("c_custkey")).alias("record"), F.struct(F.col("c_name").alias("label"), F.struct("c_mktsegment").alias("x"), F.array("c_mktsegment", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("tags")).alias("who"), F.struct(F.col("c_mktsegment").alias("segment")).alias("at"))
+    wanted = {"who.label": "name", "at.segment": "telephone", "who.tags": "keywords"}
+    fields = tuple(Field(f"{P}client-{c}", c.split(".")[1], c.split(".")[0]) for c in wanted)
+    targets = tuple(TargetField(f"{P}t-{n}", SCHEMA + n) for n in wanted.values())
+    mapping = Mapping(P + "m", P + "clientSource", P + "Client", tuple(FieldMapping((f"{P}client-{c}",), (f"{P}t-{n}",)) for c, n in wanted.items()))
+    fed = Federation((Source(P + "clientSource", JSON, fields),), (TargetSchema(P + "Client", SCHEMA + "Person", targets),), targets, (mapping,))
+    return map_sources({"client": rows}, fed).where(F.startswith("predicate", F.lit(SCHEMA))).select("record", "predicate", "value")
+
+
+@query(f"WITH {PARTY} SELECT record, '{SCHEMA}Organization' AS type FROM party")
+def report_types_of(spark, sf_dir):
+    return reports.types_of(mapped(spark, sf_dir, party_federation(hard=(SCHEMA + "nationality",))), "record")
+
+
+@query(f"WITH {PARTS} SELECT entity_iri, predicate, list_sort(list(DISTINCT value)) AS values FROM merged WHERE kind = 'literal' GROUP BY ALL".replace("list_sort(list(DISTINCT value)) AS values", "string_agg(DISTINCT value, '|' ORDER BY value) AS joined"))
+def report_by_subject(spark, sf_dir):
+    return reports.by_subject(product_merged(spark, sf_dir)[1], literals_only=True).select("entity_iri", "predicate", F.array_join("values", "|").alias("joined"))
+
+
+@query(f"WITH {PARTY}, chosen AS (SELECT record FROM party WHERE nation IN (1, 2)) SELECT record, '{SCHEMA}nationality' AS predicate, nation::VARCHAR AS value FROM party WHERE record IN (SELECT record FROM chosen)")
+def report_of_types(spark, sf_dir):
+    facts = mapped(spark, sf_dir, party_federation(hard=(SCHEMA + "nationality",)))
+    typed = facts.where((F.col("predicate") == SCHEMA + "nationality")).select("record", F.lit(RDF_TYPE).alias("predicate"), F.concat(F.lit("urn:n:"), "value").alias("value"))
+    every = typed.unionByName(facts.where(F.col("predicate") == SCHEMA + "nationality").select("record", "predicate", "value"))
+    return reports.of_types(every.withColumnRenamed("record", "entity_iri"), ["urn:n:1", "urn:n:2"]).where(F.col("predicate") == SCHEMA + "nationality").withColumnRenamed("entity_iri", "record")
+
+
+def _largest(clusters: DataFrame) -> str:
+    """The entity of most members, the smallest IRI of those."""
+    return clusters.groupBy("entity_iri").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "entity_iri").first().entity_iri
+
+
+LARGEST = "(SELECT entity_iri FROM entity GROUP BY entity_iri ORDER BY count(*) DESC, entity_iri LIMIT 1)"
+
+
+@query(f"WITH {PARTS} SELECT record, predicate, value FROM facts WHERE entity_iri = {LARGEST} AND predicate IN ('{SCHEMA}name', '{SCHEMA}brand', '{SCHEMA}size')")
+def report_cluster_detail(spark, sf_dir):
+    facts, _, _, clusters = product_clusters(spark, sf_dir, product_federation())
+    named = identity.assign(grouped(clusters), identity.empty_registry(spark), NS, "product-").clusters
+    none = pair_frame(spark, ())
+    return reports.cluster_detail(named, facts, [SCHEMA + x for x in ("name", "brand", "size")], none, none, _largest(named))[0]
+
+
+@query(f"WITH {PARTS} SELECT predicate, record, string_agg(DISTINCT value, '; ' ORDER BY value) AS cell FROM facts WHERE entity_iri = {LARGEST} GROUP BY ALL")
+def report_wide_records(spark, sf_dir):
+    prov, _ = product_merged(spark, sf_dir)
+    columns = materialize(reports.record_columns(prov, reports.source_table(spark, product_federation())), "columns")
+    entity = _largest(columns.select("entity_iri", F.col("record").alias("member")))
+    wide = reports.wide_records(prov, columns, entity)
+    return wide.unpivot(["predicate"], [F.col(f"`{c}`") for c in wide.columns if c != "predicate"], "record", "cell").where("cell <> ''")
+
+
+@query(
+    """SELECT * FROM (VALUES ('clean-customer', 'map', 'map'), ('clean-supplier', 'map', 'map'), ('map', 'match', 'match'), ('match', 'merge', 'merge'), ('merge', 'resolve', 'resolve')) v("start", "end", type)"""
+)
+def report_step_graph(spark, sf_dir):
+    result = run(spark, sf_dir, party_federation(hard=(SCHEMA + "nationality", SCHEMA + "name")))
+    return reports.step_graph(spark.createDataFrame(result.journal, engine.JOURNAL)).where("start is not null").select("start", "end", "type")
+
+
+@query(f"SELECT '{SCHEMA}Product' AS type, 'Product' AS label")
+def report_schema_options(spark, sf_dir):
+    return reports.schema_options(spark, product_federation())
+
+
+@query(
+    "SELECT n_name AS n, m FROM (SELECT n_name, c_mktsegment AS m FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9900) t WHERE m IS NOT NULL AND m IN (SELECT c_mktsegment FROM customer WHERE c_custkey = 1) UNION ALL SELECT n_name, (SELECT c_mktsegment FROM customer WHERE c_custkey = 1) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)"
+)
+def sparql_optional_join(spark, sf_dir):
+    return ask(spark, sf_dir, "SELECT ?n ?m WHERE { ?x a <urn:Nation> ; <urn:name> ?n OPTIONAL { ?c <urn:in> ?x ; <urn:segment> ?m ; <urn:balance> ?b FILTER(?b > 9900) } <urn:customer:1> <urn:segment> ?m }")
+
+
+@query("SELECT 'urn:nation:' || n_nationkey AS x FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'urn:customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+def sparql_path_to_object(spark, sf_dir):
+    return ask(spark, sf_dir, "SELECT ?x WHERE { ?x <urn:in>+ <urn:region:1> }")
+
+
+@query("SELECT 'urn:customer:' || c_custkey AS c, n_name AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def sparql_unordered_patterns(spark, sf_dir):
+    """The first two patterns share nothing; a later one connects them."""
+    return ask(spark, sf_dir, "SELECT ?c ?n ?r WHERE { ?c a <urn:Customer> . ?b <urn:name> ?r . ?a <urn:name> ?n . ?a <urn:in> ?b . ?c <urn:in> ?a }")
+
+
+@query("SELECT 'urn:g:nations' AS g, n_name AS name FROM nation UNION ALL SELECT 'urn:g:regions', r_name FROM region")
+def sparql_graph(spark, sf_dir):
+    every = triples(spark, sf_dir)
+    graphs = {f"urn:g:{k}s": every.where(F.startswith("s", F.lit(f"urn:{k}:"))) for k in ("nation", "region")}
+    return sparql.values(sparql.query("SELECT ?g ?name WHERE { GRAPH ?g { ?x <urn:name> ?name } }", every.limit(0), graphs))
+
+
+@query("SELECT 'urn:region:' || r_regionkey AS s, 'urn:has' AS p, 'urn:nation:' || n_nationkey AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sparql_insert(spark, sf_dir):
+    return sparql.query("INSERT { ?r <urn:has> ?n } WHERE { ?n a <urn:Nation> ; <urn:in> ?r }", triples(spark, sf_dir)).select("s", "p", "o")
+
+
+@query(
+    "SELECT 'urn:order:' || o_orderkey AS x, year(o_orderdate)::VARCHAR AS y, month(o_orderdate)::VARCHAR AS m, day(o_orderdate)::VARCHAR AS d FROM orders"
+)
+def sparql_dates(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    day = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = orders.select(F.concat(F.lit("urn:order:"), "o_orderkey").alias("s"), F.lit("urn:on").alias("p"), day.alias("o"), F.lit("literal").alias("kind"), F.lit(XSD + "dateTime").alias("datatype"), F.lit(None).cast("string").alias("lang"))
+    return sparql.values(sparql.query("SELECT ?x (YEAR(?t) AS ?y) (MONTH(?t) AS ?m) (DAY(?t) AS ?d) WHERE { ?x <urn:on> ?t }", rows))
+
+
+@query("SELECT 'urn:customer:' || c_custkey AS c, (trunc(c_acctbal)::BIGINT + 1)::VARCHAR AS i FROM customer")
+def sparql_casts(spark, sf_dir):
+    return ask(spark, sf_dir, f"SELECT ?c (<{XSD}integer>(?b) + 1 AS ?i) WHERE {{ ?c <urn:balance> ?b }}")
 
 
 # --- further operators ------------------------------------------------------------------------
@@ -786,7 +938,7 @@ def registry_contested(spark, sf_dir):
     """All parts of a brand were one entity; now each name is: the largest keeps the IRI, the others mint."""
     clusters = product_clusters(spark, sf_dir, product_federation())[3]
     prior = table(spark, sf_dir, "part").select(record_iri("part", F.col("p_partkey")).alias("member"), F.concat(F.lit("urn:brand:"), "p_brand").alias("entity_iri"), F.col("p_partkey").alias("seq"))
-    return identity.assign(ranked(clusters), prior, NS, "product-").clusters.select("member", "entity_iri")
+    return identity.assign(grouped(clusters), prior, NS, "product-").clusters.select("member", "entity_iri")
 
 
 @query(
@@ -797,7 +949,7 @@ def registry_contested(spark, sf_dir):
 def registry_notices(spark, sf_dir):
     clusters = product_clusters(spark, sf_dir, product_federation())[3]
     prior = table(spark, sf_dir, "part").select(record_iri("part", F.col("p_partkey")).alias("member"), F.concat(F.lit("urn:brand:"), "p_brand").alias("entity_iri"), F.col("p_partkey").alias("seq"))
-    return identity.assign(ranked(clusters), prior, NS, "product-").notices.select("notice", "entity_iri")
+    return identity.assign(grouped(clusters), prior, NS, "product-").notices.select("notice", "entity_iri")
 
 
 @query(f"WITH {PARTS} SELECT entity_iri, predicate, value, count(*)::INT AS n_records, string_agg(record, ' ' ORDER BY record) AS records FROM facts GROUP BY ALL")

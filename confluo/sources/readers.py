@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, time, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -24,13 +25,19 @@ Reader = Callable[[SparkSession, str, dict[str, str]], DataFrame]
 
 
 def read_json(spark: SparkSession, path: str, params: dict[str, str]) -> DataFrame:
-    """One record per element of a top-level array (or per top-level object), nulls kept."""
-    return spark.read.option("multiLine", True).option("dropFieldIfAllNull", False).json(path)
+    """One record per element of a top-level array (or per top-level object), nulls kept.
+
+    Parameter ``_file`` names a column for the file that each record came from."""
+    return _with_file(spark.read.option("multiLine", True).option("dropFieldIfAllNull", False).json(path), params)
+
+
+def _with_file(records: DataFrame, params: dict[str, str]) -> DataFrame:
+    return records.select("*", F.col("_metadata.file_path").alias(params["_file"])) if params.get("_file") else records
 
 
 def read_xml(spark: SparkSession, path: str, params: dict[str, str]) -> DataFrame:
-    """One record per element named by parameter ``rowTag`` (default ``record``)."""
-    return spark.read.format("xml").option("rowTag", params.get("rowTag", "record")).load(path)
+    """One record per element named by parameter ``rowTag`` (default ``record``); ``_file`` as for JSON."""
+    return _with_file(spark.read.format("xml").option("rowTag", params.get("rowTag", "record")).load(path), params)
 
 
 def xml_fields(docs: DataFrame, column: str, schema: str) -> DataFrame:
@@ -93,9 +100,15 @@ class _Tree(HTMLParser):
 
 
 def _text(node) -> str:
-    if isinstance(node, str):
-        return node
-    return "" if node["tag"] in ("script", "style") else "".join(_text(c) for c in node["children"])
+    """Text of an element in document order, scripts and styles left out; a stack, so any depth will do."""
+    out, stack = [], [node]
+    while stack:
+        at = stack.pop()
+        if isinstance(at, str):
+            out.append(at)
+        elif at["tag"] not in ("script", "style"):
+            stack += reversed(at["children"])
+    return "".join(out)
 
 
 STEP = re.compile(r"^(?P<tag>[\w-]+|\*)?(?P<rest>(?:#[\w-]+|\.[\w-]+|\[[\w-]+(?:[~^$*]?=(?:\"[^\"]*\"|'[^']*'|[^\]]*))?\])*)$")
@@ -139,19 +152,16 @@ def _fits(node, step) -> bool:
     return True
 
 
-def _reaches(node, steps) -> bool:
-    if not _fits(node, steps[-1]):
-        return False
-    if len(steps) == 1:
-        return True
-    up = node["parent"]
-    while up is not None and up["tag"]:
-        if _reaches(up, steps[:-1]):
-            return True
-        if steps[-1][0]:
-            return False
-        up = up["parent"]
-    return False
+def _reach(node, above: list[tuple[set, set]], groups) -> list[tuple[set, set]]:
+    """Per group of steps: how many leading steps end at this node, and how many end at it or above it.
+
+    Follows from the parent's sets alone, so neither depth nor the number of ancestors costs more than one look.
+    """
+    out = []
+    for (parent, over), steps in zip(above, groups, strict=True):
+        here = {k + 1 for k, step in enumerate(steps) if (k == 0 or k in (parent if step[0] else over)) and _fits(node, step)}
+        out.append((here, over | here))
+    return out
 
 
 def select_html(html: str | None, selector: str) -> list[dict]:
@@ -159,12 +169,13 @@ def select_html(html: str | None, selector: str) -> list[dict]:
     tree, groups, out = _Tree(), _selector(selector), []
     tree.feed(html or "")
     tree.close()
-    stack = [tree.root]
+    stack = [(tree.root, [(set(), set()) for _ in groups])]
     while stack:
-        node = stack.pop()
-        if node["tag"] and any(_reaches(node, g) for g in groups):
+        node, above = stack.pop()
+        reach = _reach(node, above, groups) if node["tag"] else above
+        if node["tag"] and any(len(steps) in here for (here, _), steps in zip(reach, groups, strict=True)):
             out.append({"tag": node["tag"], "text": " ".join(_text(node).split()), "attrs": node["attrs"]})
-        stack += [c for c in reversed(node["children"]) if not isinstance(c, str)]
+        stack += [(c, reach) for c in reversed(node["children"]) if not isinstance(c, str)]
     return out
 
 
@@ -189,16 +200,37 @@ def read_html(spark: SparkSession, path: str, params: dict[str, str]) -> DataFra
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def _first_sheet(book: zipfile.ZipFile, names: set[str]) -> str:
+    """The file of the sheet that the workbook lists first."""
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        first = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{SHEET}sheets/{SHEET}sheet")
+        links = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        target = links.get(next((v for k, v in first.attrib.items() if k.endswith("}id")), None)) if first is not None else None
+        if target is not None:
+            return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
+
+
+def _date_styles(book: zipfile.ZipFile, names: set[str]) -> set[int]:
+    """Cell styles that show a number of days as a date."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{SHEET}numFmt")}
+    dated = {k for k, code in own.items() if re.search("[dmyh]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code).lower())} | set(range(14, 23))
+    styles = root.find(f"{SHEET}cellXfs")
+    return {k for k, x in enumerate(styles if styles is not None else []) if int(x.get("numFmtId", 0)) in dated}
+
+
 def sheet_rows(content: bytes) -> list[list[str | None]]:
-    """Cells of the first sheet of a workbook as text, row by row."""
+    """Cells of the workbook's first sheet as text, row by row; numbers in a date style as ISO dates."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in root.iter(f"{SHEET}si")]
-        sheet = min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        rows = []
+        sheet, dates, rows = _first_sheet(book, names), _date_styles(book, names), []
         for row in ElementTree.fromstring(book.read(sheet)).iter(f"{SHEET}row"):
             cells: list[str | None] = []
             for cell in row.iter(f"{SHEET}c"):
@@ -215,6 +247,9 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
                     text = shared[int(text)]
                 elif cell.get("t") == "inlineStr":
                     text = "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
+                elif cell.get("t") in (None, "n") and text is not None and int(cell.get("s", -1)) in dates:
+                    moment = datetime(1899, 12, 30) + timedelta(days=float(text))
+                    text = moment.date().isoformat() if moment.time() == time() else moment.isoformat()
                 cells += [None] * (at + 1 - len(cells))
                 cells[at] = text
             rows.append(cells)
@@ -237,14 +272,14 @@ def read_xlsx(spark: SparkSession, path: str, params: dict[str, str]) -> DataFra
     books = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
     cells = books.mapInPandas(rows, "file string, row int, cells map<string,string>")
     heads = sorted(r.h for r in cells.select(F.explode(F.map_keys("cells")).alias("h")).distinct().collect())  # column names
-    return cells.select(*[F.col("cells")[h].alias(h) for h in heads])
+    return cells.select(*[F.col("cells")[h].alias(h) for h in heads], *([F.col("file").alias(params["_file"])] if params.get("_file") else []))
 
 
 READERS: dict[str, Reader] = {"json": read_json, "xml": read_xml, "html": read_html, "xlsx": read_xlsx}
 
 
 def reader_for(format_iri: str) -> Reader:
-    family = format_family(format_iri)
+    family = format_family(format_iri).lower()
     if family not in READERS:
         raise ValueError(f"lift: no reader for format {family} - use {', '.join(READERS)}")
     return READERS[family]

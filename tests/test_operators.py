@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from confluo import config
 from confluo.config import Criterion, Federation, Field, FieldMapping, Mapping, MatchRule, ResolveRule, Source, TargetField, TargetSchema
 from confluo.functions import similarity, turtle
-from confluo.functions.terms import FACTS, PIPELINE, SCHEMA, XSD, encode_for_uri, local_name, shrink, source_name
+from confluo.functions.terms import FACTS, PIPELINE, SCHEMA, XSD, compact, encode_for_uri, local_name, source_name
 from confluo.operators import exports, identity, reports
 from confluo.operators.clean import default_clean
 from confluo.operators.components import connected_components
 from confluo.operators.mapping import map_sources
-from confluo.operators.matching import clusters_of, match_rule, pair_frame, ranked
+from confluo.operators.matching import block_pairs, clusters_of, link_edges, match_rule, pair_frame, ranked, split_vetoed
 from confluo.operators.resolve import resolve
 from confluo.plans import engine, sparql
 from confluo.sources import readers
@@ -75,6 +75,9 @@ def test_same_as_overrules_and_veto_only_cuts_the_edge(spark):
     rows, evidence, _ = match_rule(facts(spark, fed, ROWS), fed, fed.rules[0], pair_frame(spark, ()), pair_frame(spark, ((f"{P}s-a", f"{P}s-b"),)))
     roots = {r.member[-1]: r.root for r in clusters_of(rows, evidence).collect()}
     assert roots["a"] == roots["b"] == roots["d"] and roots["c"] != roots["a"]  # joined again through d
+    veto = pair_frame(spark, ((f"{P}s-a", f"{P}s-b"),))
+    few = link_edges(rows, fed, fed.rules[0], evidence, pair_frame(spark, ()), veto)
+    assert {r.member[-1]: r.root for r in clusters_of(rows, few).collect()} == roots
 
 
 def decided(spark, groups, registry, taken=None):
@@ -188,7 +191,7 @@ def test_components_match_union_find(spark):
 
 
 def test_terms(spark):
-    assert (local_name("http://x/y#z"), source_name(P + "fooSource"), shrink(SCHEMA + "name", {"schema": SCHEMA})) == ("z", "foo", "schema:name")
+    assert (local_name("http://x/y#z"), source_name(P + "fooSource"), compact(SCHEMA + "name", {"schema": SCHEMA})) == ("z", "foo", "schema:name")
     row = spark.createDataFrame([("a b*~/ü",)], "x string").select(encode_for_uri(F.col("x"))).first()
     assert row[0] == "a%20b%2A~%2F%C3%BC"
 
@@ -324,7 +327,7 @@ def test_exports(spark, tmp_path):
 
 def test_stream_of_harvests(spark, tmp_path):
     fed = federation({"hard": (SCHEMA + "name",)})
-    harvester = harvest.Harvester(spark, fed)
+    harvester = harvest.Harvester(spark, fed, str(tmp_path / "state"))
     folder = tmp_path / "in"
     schema = "id string, name string, zip string"
     for n, rows in enumerate(([("a", "Hall", "1"), ("b", "Mill", "1")], [("c", "Hall", "2"), ("b", "Mill", "9")])):
@@ -332,9 +335,13 @@ def test_stream_of_harvests(spark, tmp_path):
         q = harvest.start(spark, harvester, P + "sSource", spark.readStream.schema(schema).json(str(folder)), str(tmp_path / "cp"))
         q.awaitTermination(120)
         assert q.exception() is None
+        harvester = harvest.Harvester(spark, fed, str(tmp_path / "state"))  # as after a restart of the driver
     by = {r.member[-1]: r.entity_iri for r in harvester.registry.collect()}
     assert by["a"] == by["c"] != by["b"]
     assert sorted((r.revision, r.event) for r in harvester.history.collect()) == [(1, "Minted"), (1, "Minted"), (2, "MemberJoined")]
+    assert harvester.harvest == 2 and harvester.add(P + "sSource", spark.createDataFrame([("z", "New", "1")], schema), 1) is None and harvester.harvest == 2
+    last = harvester.add(P + "sSource", spark.createDataFrame([("z", "New", "1"), ("z", "Newer", "2"), ("a", "Hall", "7")], schema), 7)
+    assert last.final.where("value in ('New', 'Newer')").count() == 1 and last.merged.where("value = '7'").count() == 1 and harvester.harvest == 3
 
 
 def test_empty_facts(spark):
@@ -342,3 +349,32 @@ def test_empty_facts(spark):
     fed = federation({"hard": (SCHEMA + "name",)})
     rows, evidence, _ = match_rule(none, fed, fed.rules[0])
     assert clusters_of(rows, evidence).count() == 0
+
+
+@pytest.mark.parametrize("untrusted", [[], ["s0"], ["s0", "s1"]])
+def test_few_edges_give_the_components_of_all_pairs(spark, untrusted):
+    from confluo.operators.matching import block_edges
+
+    rng = random.Random(len(untrusted))
+    rows = spark.createDataFrame([(f"r{k:02}", f"s{rng.randrange(3)}", rng.choice("uvwxyz") if k else None) for k in range(40)], "record string, source string, v0 string")
+    different = pair_frame(spark, tuple((f"r{rng.randrange(40):02}", f"r{rng.randrange(40):02}") for _ in range(6)))
+    pairs = block_pairs(rows, ["v0"], untrusted).select(F.col("a_record").alias("a"), F.col("b_record").alias("b"))
+    want = clusters_of(rows, split_vetoed(pairs, different)[0])
+    got = clusters_of(rows, block_edges(rows, ["v0"], untrusted, different))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_html_of_any_depth():
+    from confluo.sources.readers import select_html
+
+    deep = "<div class=a>" * 5000 + "<p>in <b>it</b></p>" + "</div>" * 5000
+    assert [e["text"] for e in select_html(deep, ".a > .a p")] == ["in it"] and len(select_html(deep, "div")) == 5000
+    page = "<ul id=x><li><a>1</a></li><li class='k'><span><a>2</a></span></li></ul><a>3</a>"
+    assert [[e["text"] for e in select_html(page, s)] for s in ("li > a", "ul a", "#x > a", "ul > .k a", "a", "li a, span")] == [["1"], ["1", "2"], [], ["2"], ["1", "2", "3"], ["1", "2", "2"]]
+
+
+def test_numbering_is_dense_and_in_order(spark):
+    from confluo.plans.skew import numbered
+
+    out = numbered(spark.range(500).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(97))), [F.col("k").desc(), F.col("id")], "n").collect()
+    assert [r.n for r in sorted(out, key=lambda r: (-r.k, r.id))] == list(range(1, 501))
