@@ -16,7 +16,7 @@ Semantics
 Plan: the windows of a text are hashed once (128 bits of BLAKE2 over those of its lines) and
 written; an aggregate with map-side combine finds the windows that occur twice or more and their first
 occurrence. These are joined back: windows that hold a large share of all rows by broadcast
-(a bounded number, ``skew.keyed_join``), the others by a sort-merge join on the hash. The covered positions
+(a bounded number, ``plans.skew``), the others by a sort-merge join on the hash. The covered positions
 are merged per document and joined to the documents.
 
 A very long text is hashed whole by one task, which holds its lines and their hashes. Ties do not arise but
@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluo.llm.names import fresh, named, without
-from confluo.llm.skew import keyed_join
 from confluo.plans.shared import materialize
+from confluo.plans.skew import keyed_join
 
 RESULT = ["n_lines", "n_removed", "kept_text"]
 

@@ -53,9 +53,9 @@ from pyspark.sql import functions as F
 
 from confluo.llm.bytesops import ASCII_LOWER, SPACED, U64, blocks, mix, utf8, word_hashes, word_spans
 from confluo.llm.names import fresh, without
-from confluo.llm.skew import keyed_join
 from confluo.operators.components import connected_components
 from confluo.plans.shared import materialize
+from confluo.plans.skew import keyed_join
 
 RESULT = ["n_shingles", "component_id", "kept"]
 BANDS, ROWS = 40, 5
@@ -323,7 +323,8 @@ def classes(docs: DataFrame, shingle: int, percent: int, differ: int | None = 50
         whole = part
     else:
         more = compared(rest, docs, reps, shingle, percent).where("linked").select("a", "b")
-        whole = connected_components(links.unionByName(more), "a", "b")
+        stars = part.select(F.col("node").alias("a"), F.col("component").alias("b"))  # the links so far, contracted
+        whole = connected_components(stars.unionByName(more), "a", "b")
     named = reps.join(whole, reps.rep == whole.node, "left").select(
         F.col("print").alias("_p"), F.coalesce("component", "rep").alias("component")
     )
