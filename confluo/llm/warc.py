@@ -171,6 +171,8 @@ def scan(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, str | None]]
     """
     data = stream.read(PIECE)
     while data:
+        while len(data) < len(GZIP) and (more := stream.read(PIECE)):  # a member may begin at the very end of a piece
+            data += more
         if data[:2] != GZIP[:2]:
             yield from _plain(data, stream)
             return
@@ -187,10 +189,10 @@ def scan(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, str | None]]
         except (zlib.error, ValueError) as e:
             yield {}, b"", str(e)
             at = data.find(GZIP, skip)
-            while at < 0 and data:
-                data = stream.read(PIECE)
-                at = data.find(GZIP)
-            data = data[at:] if data else data
+            while at < 0 and (more := stream.read(PIECE)):
+                data = data[max(skip, len(data) - 2) :] + more
+                at, skip = data.find(GZIP), 0
+            data = data[at:] if at >= 0 else b""
             continue
         yield from _plain(b"".join(parts), io.BytesIO())
 
@@ -206,7 +208,7 @@ def _plain(data: bytes, stream: BinaryIO) -> Iterator[tuple[dict[str, str], byte
                 if data:
                     yield {}, b"", "record header is cut short"
                 return
-            data += more
+            data = (data + more).lstrip(b"\r\n")  # what is left of the gap between records
             end = data.find(b"\r\n\r\n")
         lines = data[:end].decode("utf-8", "replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}

@@ -1,6 +1,7 @@
 """Clashing columns, very long texts, ties and damage in every operator and stage; models against plain re-computation."""
 
 import hashlib
+import io
 import math
 import random
 import struct
@@ -176,6 +177,22 @@ def test_damaged_archives_give_error_rows(spark):
     assert warc.read_archives(archive(spark, b"")).count() == 0
 
 
+def test_members_may_begin_anywhere_in_a_piece(monkeypatch):
+    rng = random.Random(4)
+    bodies = [bytes(rng.randrange(256) for _ in range(rng.randrange(0, 90))) for _ in range(60)]
+    members = [warc.record([("WARC-Type", "resource"), ("X-Page-Id", k)], b) for k, b in enumerate(bodies)]
+    plain = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in bodies)
+    for piece in [*range(1, 40), 1 << 16]:
+        monkeypatch.setattr(warc, "PIECE", piece)
+        assert [block for _, block in warc.parse(b"".join(members))] == bodies
+        assert [block for _, block in warc.parse(plain)] == bodies
+        bent = bytearray(members[3])
+        bent[15:25] = bytes(10)
+        got = [(block, error) for _, block, error in warc.scan(io.BytesIO(b"".join(members[:3]) + bytes(bent) + b"".join(members[4:])))]
+        good = [block for block, error in got if error is None]
+        assert good == bodies[:3] + bodies[4:] and len(got) > len(good), piece
+
+
 def test_revisits_name_their_response_in_the_archive(spark):
     body = b"k" * 2000
     records = [*warc.records_of(5, "u", body, None, 9000), *warc.records_of(1, "u", body, 5, 9000), *warc.records_of(2, "u", body, 4, 9000)]
