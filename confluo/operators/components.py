@@ -23,11 +23,11 @@ def _large_star(edges: DataFrame, n: int) -> DataFrame:
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    down = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    moved = keyed_join(down, least.drop("n"), least.select("u", "n"), ["u"], total=n).where("v <> m")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _open(edges: DataFrame) -> int:
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         raw.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     while n := _open(current):
-        current = materialize(_small_star(_large_star(current, n)), "edges")
+        current = materialize(_small_star(_large_star(current, n), n), "edges")
     found = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     alone = loops.join(found, loops.u == found.node, "left_anti").select(
