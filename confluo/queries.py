@@ -556,10 +556,11 @@ def report_schema_levels(spark, sf_dir):
     return reports.levels(edges, nodes)
 
 
-@query("WITH RECURSIVE e AS (SELECT c_custkey % 97 AS s, c_custkey % 89 + 50 AS t FROM customer), r AS (SELECT 0::BIGINT AS node UNION SELECT t FROM r JOIN e ON r.node = e.s) SELECT node FROM r")
+@query("WITH RECURSIVE e AS (SELECT c_custkey // 3 AS s, c_custkey AS t FROM customer UNION ALL SELECT c_custkey, c_nationkey FROM customer), r AS (SELECT 40::BIGINT AS node UNION SELECT t FROM r JOIN e ON r.node = e.s) SELECT node FROM r")
 def report_reachability(spark, sf_dir):
-    edges = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 97).alias("start"), (F.col("c_custkey") % 89 + 50).alias("end"))
-    return reports.reachable(edges, spark.range(1).select(F.lit(0).cast("long").alias("node"))).select("node")
+    customer = table(spark, sf_dir, "customer")
+    edges = customer.select(F.expr("c_custkey div 3").alias("start"), F.col("c_custkey").cast("long").alias("end")).union(customer.select(F.col("c_custkey").cast("long"), F.col("c_nationkey").cast("long")))
+    return reports.reachable(edges, spark.range(1).select(F.lit(40).cast("long").alias("node"))).select("node")
 
 
 @query(f"WITH {PARTS} SELECT entity_iri, count(*) AS members, '{SCHEMA}Product' AS lane, min(p_name) AS label FROM entity GROUP BY entity_iri HAVING count(*) > 1")
