@@ -373,6 +373,20 @@ def test_html_of_any_depth():
     assert [[e["text"] for e in select_html(page, s)] for s in ("li > a", "ul a", "#x > a", "ul > .k a", "a", "li a, span")] == [["1"], ["1", "2"], [], ["2"], ["1", "2", "3"], ["1", "2", "2"]]
 
 
+def test_html_titles_equal_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from confluo import queries
+
+    titles = ["a &amp;&amp", "&lt;b&gt; &quot;&amp;lt;&quot;", "one <b>two</b>  \n three", "&nbsp;x&#39;y &eacute &ampx;", " \u00a0 z\u000b ", "", "&amp"]
+    pages = [f"<!DOCTYPE html><html><head><title>{t}</title></head><body><p>&amp</p><a href='#'>x</a></body></html>" for t in titles]
+    pages += [None, "", "<p>no title</p>", "<title>no head</title><title>second</title>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.sql(queries.ORACLE["lift_html_titles"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in queries.lift_html_titles(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and dict(got)[0] == "a &&amp"
+    assert readers.select_html("<p>a &amp&eacute;</p>", "p")[0]["text"] == "a &\u00e9"
+
+
 def test_numbering_is_dense_and_in_order(spark):
     from confluo.plans.skew import numbered
 
