@@ -364,6 +364,22 @@ def test_few_edges_give_the_components_of_all_pairs(spark, untrusted):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("untrusted", [[], ["s0"], ["s0", "s1"]])
+def test_blocks_in_pieces_give_each_pair_once(spark, monkeypatch, untrusted):
+    from confluo.operators import matching
+
+    monkeypatch.setattr(matching, "TILE", 3)
+    rng = random.Random(len(untrusted))
+    data = [(f"r{k:02}", rng.choice(["s0", "s1", "s2", None]), rng.choice("uv") if k else None) for k in range(40)]
+    pairs = block_pairs(spark.createDataFrame(data, "record string, source string, v0 string"), ["v0"], untrusted)
+    apart = lambda a, b: a[1] == b[1] and a[1] in untrusted
+    want = sorted((*a, *b) for a, b in itertools.combinations(data, 2) if a[2] and a[2] == b[2] and not apart(a, b))
+    assert sorted(map(tuple, pairs.collect()), key=str) == sorted(want, key=str)
+    # rows of an untrusted source do not meet each other: no piece has them on both sides
+    one = block_pairs(spark.createDataFrame([(f"r{k:02}", "s0", "u") for k in range(20)], "record string, source string, v0 string"), ["v0"], ["s0"])
+    assert one.isEmpty()
+
+
 def test_html_of_any_depth():
     from confluo.sources.readers import select_html
 
