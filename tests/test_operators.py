@@ -380,6 +380,23 @@ def test_blocks_in_pieces_give_each_pair_once(spark, monkeypatch, untrusted):
     assert one.isEmpty()
 
 
+@pytest.mark.parametrize(("algorithm", "score"), [("ratio", 1.0), ("token_sort_ratio", 0.98)])
+def test_strict_thresholds_join_equal_texts(spark, algorithm, score):
+    from confluo.operators import matching
+
+    rng, long = random.Random(7), "abcd efgh " * 30
+    names = [f"Name {rng.randrange(20)}" for _ in range(40)] + ["NAME-3", "3 name", "!", "", "\u0130x", "i\u0307x"]
+    names += [long, long + "z", long[:150] + "q" + long[150:], long[5:], long[:95], long[:95] + "y", "x" * 20 + "y", "x" * 20]
+    data = [(f"r{k:02}", "s", n) for k, n in enumerate(names)]
+    rows = spark.createDataFrame(data, "record string, source string, v0 string")
+    rule = MatchRule("r", "s", "n", "p", weighted=(Criterion("p", 1.0),), min_score=score, algorithm=algorithm)
+    of = similarity.FUNCTIONS[algorithm]
+    want = {tuple(sorted((a, b))) for a in set(names) for b in set(names) if of(a, b) / 100 >= score}
+    assert {tuple(sorted((r.x_v0, r.y_v0))) for r in matching.scored_values(rows, rule, 0).collect()} == want
+    plan = matching.scored_values(rows, rule, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(x__key" in plan.replace("NOT (x__key", "")  # an equality to join by, so that not all pairs are scored
+
+
 def test_html_of_any_depth():
     from confluo.sources.readers import select_html
 
