@@ -397,6 +397,28 @@ def test_strict_thresholds_join_equal_texts(spark, algorithm, score):
     assert "(x__key" in plan.replace("NOT (x__key", "")  # an equality to join by, so that not all pairs are scored
 
 
+@pytest.mark.parametrize("untrusted", [False, True])
+@pytest.mark.parametrize("weighted", [False, True])
+def test_clusters_and_counts_without_pairs(spark, untrusted, weighted):
+    from confluo.operators.matching import pair_counts, rule_clusters
+
+    rng = random.Random(3)
+    rule = {"hard": (SCHEMA + "postalCode",)} | ({"weighted": (Criterion(SCHEMA + "name"),), "min_score": 0.7, "algorithm": "ratio"} if weighted else {})
+    fed = federation(rule, dedup=not untrusted)
+    data = [(f"{k:02}", rng.choice(["Alpha Hall", "Alpha Halls", "Mill", "Old Mill", "!", "Tower", None]), rng.choice("123") if k else None) for k in range(45)]
+    rows = facts(spark, fed, data).withColumn("value", F.when((F.col("predicate").endswith("fromSource")) & (F.substring("record", -1, 1) < "3"), P + "other").otherwise(F.col("value")))
+    at = lambda k: f"{P}s-{k:02}"
+    same = pair_frame(spark, ((at(1), at(2)), (at(0), at(44)), (at(3), "none")))
+    veto = pair_frame(spark, tuple((at(rng.randrange(45)), at(rng.randrange(45))) for _ in range(60)))
+    for curated in ((None, None), (same, veto)):
+        records, evidence, vetoed = match_rule(rows, fed, fed.rules[0], *curated)
+        got = rule_clusters(records, fed, fed.rules[0], None if weighted else evidence, *curated).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, clusters_of(records, evidence).collect()))
+        counts = pair_counts(records, fed, fed.rules[0], *curated).first()
+        manual = evidence.where("manual").count()
+        assert tuple(counts) == (manual, evidence.count() - manual, vetoed.count())
+
+
 def test_html_of_any_depth():
     from confluo.sources.readers import select_html
 
