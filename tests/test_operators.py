@@ -419,6 +419,15 @@ def test_clusters_and_counts_without_pairs(spark, untrusted, weighted):
         assert tuple(counts) == (manual, evidence.count() - manual, vetoed.count())
 
 
+def test_pairs_are_not_written_on_the_way(spark, monkeypatch):
+    written, write = [], engine.materialize
+    monkeypatch.setattr(engine, "materialize", lambda df, name="step": written.append(name) or write(df, name))
+    fed = federation({"hard": (SCHEMA + "postalCode",), "weighted": (Criterion(SCHEMA + "name"),), "min_score": 1.0, "algorithm": "ratio"})
+    out = engine.federate(spark, fed, {"s": spark.createDataFrame(ROWS, "id string, name string, zip string")}, at="2024-01-01 00:00:00")
+    assert "clusters" in written and "pairs" not in written
+    assert [(r.a[-1], r.b[-1], r.aggregate) for r in out.pairs.collect()] == [("a", "b", 1.0)]
+
+
 def test_html_of_any_depth():
     from confluo.sources.readers import select_html
 
