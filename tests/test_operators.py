@@ -380,6 +380,27 @@ def test_blocks_in_pieces_give_each_pair_once(spark, monkeypatch, untrusted):
     assert one.isEmpty()
 
 
+@pytest.mark.parametrize("counted", [False, True])
+def test_pieces_of_trusted_sources_are_dealt_to_many_tasks(spark, monkeypatch, counted):
+    from confluo.operators import matching
+
+    monkeypatch.setattr(matching, "TILE", 4)
+    if counted:
+        monkeypatch.setattr(matching, "TASK", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        data = [(f"r{k:02}", "s0", "u") for k in range(40)]
+        more = {"counted": True} if counted else {}
+        pairs = block_pairs(spark.createDataFrame(data, "record string, source string, v0 string"), ["v0"], **more)
+        found = pairs.select("a_record", "b_record", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((a, b) for a, b, _ in found) == sorted(itertools.combinations([r for r, _, _ in data], 2))
+    # 55 pieces: in all parts there are, or in more of them where their number follows from the sizes
+    assert len({part for _, _, part in found}) >= (20 if counted else 2)
+
+
 @pytest.mark.parametrize(("algorithm", "score"), [("ratio", 1.0), ("token_sort_ratio", 0.98)])
 def test_strict_thresholds_join_equal_texts(spark, algorithm, score):
     from confluo.operators import matching
